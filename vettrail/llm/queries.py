@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, minhash, packing, quality, sharding, token_files
+from . import linededup, minhash, packing, quality, sharding, suffixes, token_files
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash": op4_minhash,
         "op6_line_dedup": op6_line_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_files": op10_token_files,
     }
 
