@@ -9,13 +9,13 @@ with encode_special_tokens set, several times as fast. The tests compare the two
 from __future__ import annotations
 
 import functools
+import struct
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of the pre-token cache of one Python worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries of each of the two caches of one Python worker; a full cache starts anew.
+CACHE_ENTRIES = 300_000
 
 
 def default_vocabulary() -> str:
@@ -34,6 +34,39 @@ def _byte_alphabet() -> dict[int, str]:
     return out
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens that don't begin with a space, found when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.find(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = out
+        return out
+
+
+class _Spaced(_Pieces):
+    """Ids of a space and what follows it up to the next space, which may be several pre-tokens."""
+
+    def __init__(self, find, split, plain):
+        super().__init__(self._several)
+        self.one, self.split, self.plain = find, split, plain
+
+    def _several(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # letters alone are one pre-token
+            return self.one(" " + chunk)
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.plain[chunk[-1]]
+        pieces = self.split(" " + chunk)
+        if len(pieces) == 1:
+            return self.one(pieces[0])
+        return b"".join([self[x[1:]] if x[0] == " " and x != " " else self.plain[x] for x in pieces])
+
+
 class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
@@ -41,29 +74,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):  # each piece comes once; the library's own cache would only cost time
+            self.model._resize_cache(0)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.alphabet = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
-        self.known: dict[str, bytes] = {}
+        self.space = " ".translate(self.alphabet)
+        self.plain = _Pieces(self._merge)
+        self.spaced = _Spaced(self._merge, self.split, self.plain)
 
-    def _new(self, piece: str) -> bytes:
-        marked = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-        out = np.array([x.id for x in self.model.tokenize(marked)], "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[piece] = out
-        return out
+    def _merge(self, piece: str) -> bytes:
+        marked = self.space + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = [x.id for x in self.model.tokenize(marked)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str | None) -> bytes:
-        """The ids of a whole text, four bytes each; nothing for a null or empty text."""
+        """The ids of a whole text, four bytes each; nothing for a null or empty text.
+
+        A space between two characters that aren't spaces always begins a pre-token, so the text may be
+        cut there and each cut looked up as a whole. Texts with runs of spaces go pre-token by pre-token.
+        """
         if not text:
             return b""
-        known, pieces = self.known, self.split(text)
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            new = self._new
-            return b"".join([known[x] if x in known else new(x) for x in pieces])
+        if "  " in text:
+            return b"".join(map(self.plain.__getitem__, self.split(text)))
+        first, *rest = text.split(" ")
+        return b"".join(map(self.plain.__getitem__, self.split(first))) + b"".join(map(self.spaced.__getitem__, rest))
 
 
 @functools.lru_cache(maxsize=2)
