@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, minhash, packing, quality, sharding, suffixes, token_files
+from . import licences, linededup, minhash, packing, quality, sharding, suffixes, token_files
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
+        "op3_licence_scan": op3_licence_scan,
         "op4_minhash": op4_minhash,
         "op6_line_dedup": op6_line_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
