@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, linededup, minhash, packing, quality, sharding, suffixes, token_files
+from . import licences, linededup, minhash, packing, pieces, quality, sharding, suffixes, token_files
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_licence_scan": op3_licence_scan,
         "op4_minhash": op4_minhash,
         "op6_line_dedup": op6_line_dedup,
+        "op7_pieces": op7_pieces,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_files": op10_token_files,
