@@ -23,7 +23,9 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import string
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words remembered by a Python worker between batches, pair verdicts remembered.
-CACHED_WORDS, CACHED_PAIRS = 200_000, 400_000
+CACHED_WORDS, CACHED_PAIRS = 500_000, 400_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
 
@@ -64,13 +66,22 @@ class Pieces:
                 self.rank[piece], self.ids[piece] = model.get_score(i), i
                 self.shown.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.ids))
-        # only pieces that their own merges lead to can stand in a segmentation
-        self.whole = {p for p in self.ids if self.merge(p) == [p]}
+        order = sorted({-x for x in self.rank.values()})
+        self.order = {p: bisect_left(order, -x) for p, x in self.rank.items()}
+        # only pieces that their own merges lead to can stand in a segmentation; of each, its last merge
+        self.last_merge: dict[str, tuple[str, str]] = {}
+        self.whole = {p for p in self.ids if self.merge(p, self.last_merge) == [p]}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
-
-    def merge(self, word: str) -> list[str]:
-        """Merges by rank, the leftmost of equals first."""
+        self.code = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
+        # punctuation that no piece joins to a letter: words may be cut between the two
+        joined = {c for p in self.ids for pair in zip(p, p[1:]) if any(map(str.isalpha, pair)) for c in pair}
+        free = "".join(re.escape(c) for c in string.punctuation if c not in joined)
+        letter = r"[^\W\d_]"
+        self.parts = re.compile(f"(?<={letter})(?=[{free}])|(?<=[{free}])(?={letter})").split if free else lambda w: [w]
+
+    def merge(self, word: str, last_merge: dict[str, tuple[str, str]] | None = None) -> list[str]:
+        """Merges by rank, the leftmost of equals first; notes what the word as a whole was made of."""
         parts: list[str | None] = list(word)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         rank, heap = self.rank, []
@@ -86,6 +97,8 @@ class Pieces:
             _, i, j, both = heapq.heappop(heap)
             if parts[i] is None or j >= len(parts) or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
                 continue
+            if last_merge is not None and len(both) == len(word):
+                last_merge[word] = (parts[i], parts[j])
             parts[i], parts[j], after[i] = both, None, after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
@@ -95,31 +108,45 @@ class Pieces:
         return [p for p in parts if p is not None]
 
     def _pair(self, a: str, b: str) -> bool:
+        """Whether merging a + b ends in a and b: the pieces' merges are undone, the latest first, and none of
+        the merges across the cut that this lays open may come before the one just undone."""
         key = (a, b)
         found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(a + b) == [a, b]
+        if found is not None:
+            return found
+        order, made, bound, found = self.order, self.last_merge, len(self.order), True
+        while True:
+            across = order.get(a + b)
+            if across is not None and across < bound:
+                found = False
+                break
+            left, right = made.get(a), made.get(b)
+            if left is None and right is None:
+                break
+            if right is None or left is not None and order[a] > order[b]:
+                bound, a = order[a], left[1]
+            else:  # of equals the left one came first
+                bound, b = order[b] + 1, right[0]
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = found
         return found
 
     def _packed(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out += [self.bytes[b] for b in p.encode()]
-            else:
-                out.append(i)
-        return np.array(out, "<u4").tobytes()
+        try:
+            return b"".join([self.code[p] for p in pieces])
+        except KeyError:  # characters beyond the vocabulary
+            ids = [i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
+            return np.array(ids, "<u4").tobytes()
 
     def segment(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of distinct words: sorted, depth-first over their trie."""
+        parts = {w: [w] if w.lstrip(MARK).isalpha() else self.parts(w) for w in words}
         out: dict[str, bytes] = {}
-        whole, longest = self.whole, self.longest
+        whole, longest, pair = self.whole, self.longest, self._pair
         last: list[str] = [""]  # last[i]: the last piece of the segmentation of the first i characters
         previous = ""
-        for word in sorted(words):
+        for word in sorted({x for own in parts.values() for x in own}):
             if word[:2] == MARK + MARK:
                 out[word] = self._packed(self.merge(word))
                 continue
@@ -128,10 +155,12 @@ class Pieces:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for size in range(min(end, longest), 0, -1):
-                    piece = word[end - size : end]
-                    if (piece in whole and (end == size or self._pair(last[end - size], piece))) or size == 1:
+                for start in range(max(0, end - longest), end):
+                    piece = word[start:end]
+                    if piece in whole and (not start or pair(last[start], piece)):
                         break
+                else:
+                    piece = word[end - 1]
                 last.append(piece)
             pieces, at = [], len(word)
             while at:
@@ -139,18 +168,17 @@ class Pieces:
                 at -= len(last[at])
             out[word] = self._packed(pieces[::-1])
             previous = word
-        return out
+        return {w: out[own[0]] if len(own) == 1 else b"".join([out[x] for x in own]) for w, own in parts.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
         marked = [_WORDS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.known
         new = {w for ws in marked for w in ws if w not in known}
-        if len(known) + len(new) > CACHED_WORDS:
-            # what this batch needs is all that stays
-            known = {w: known[w] for ws in marked for w in ws if w in known}
-        known.update(self.segment([*new]))
-        self.known = known if len(known) <= CACHED_WORDS else {}
+        found = self.segment([*new])
+        if len(known) + len(found) > CACHED_WORDS:  # what this batch needs is all that stays
+            known = self.known = {w: known[w] for ws in marked for w in ws if w in known}
+        known.update(found)
         return [b"".join(map(known.__getitem__, ws)) for ws in marked]
 
     def decode(self, packed: bytes) -> str:

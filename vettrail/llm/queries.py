@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, linededup, minhash, packing, pieces, quality, sharding, suffixes, token_files
+from . import licences, linededup, minhash, packing, pieces, quality, sharding, suffixes, token_files, vectors
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_licence_scan": op3_licence_scan,
         "op4_minhash": op4_minhash,
+        "op5_nn_descent": op5_nn_descent,
         "op6_line_dedup": op6_line_dedup,
         "op7_pieces": op7_pieces,
         "op8_best_fit_packing": op8_best_fit_packing,
