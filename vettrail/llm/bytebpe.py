@@ -14,8 +14,8 @@ import struct
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each of the two caches of one Python worker; a full cache starts anew.
-CACHE_ENTRIES = 300_000
+#: Entries of each generation of the two caches of one Python worker.
+CACHE_ENTRIES = 450_000
 
 
 def default_vocabulary() -> str:
@@ -35,15 +35,21 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pre-tokens that don't begin with a space, found when first asked for."""
+    """Ids of pre-tokens that don't begin with a space, found when first asked for.
+
+    Two generations: a full young one becomes the old one, and what is asked for again comes back.
+    """
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.old = find, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.find(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.find(piece)
         if len(piece) <= 64:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out

@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
         .sortWithinPartitions("doc_id", "tie")
     )
     ordered.mapInArrow(_encode(vocabulary), "doc_id long, tie long, ids array<int>").write.options(**{
-        "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(INDEX_STRIDE), "orc.stripe.size": str(STRIPE_BYTES),
+        "compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": str(INDEX_STRIDE), "orc.stripe.size": str(STRIPE_BYTES),
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
     }).orc(path)
 
