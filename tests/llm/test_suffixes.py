@@ -53,8 +53,10 @@ def test_passages(spark):
     check(spark, rows)
 
 
-def test_frequent_passage_over_many_partitions(spark):
-    """One anchor over partition boundaries: each text has the passage in its own surroundings."""
+@pytest.mark.parametrize("kinds", [20_000, 10])
+def test_frequent_passage_over_many_partitions(spark, monkeypatch, kinds):
+    """One anchor in one partition or over their boundaries: each text has the passage in its own surroundings."""
+    monkeypatch.setattr(suffixes, "HOT_KINDS", kinds)
     rnd = random.Random(6)
     noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
     passage = noise(430)

@@ -11,8 +11,8 @@ suffix in 137 bytes is kept, and no repeated window can be missed.
 2. Where runs share an anchor but differ, one of each kind sends its text. These suffixes are
    range-partitioned by their leading tokens with sampled splitters and sorted within each bucket; a
    multikey pass compares first the leading-token key, then the key of each 400-byte window. An
-   anchor that is split over several partitions is compared across the boundaries by the keys of its
-   windows, so that no anchor, however frequent, has to fit into one task.
+   anchor with more than HOT_KINDS kinds is split over several partitions and compared across the
+   boundaries by the keys of its windows, so that no anchor, however frequent, has to fit into one task.
 3. Repeated windows of a document merge into spans.
 
 Strings are compared by 64-bit hash under an equal 64-bit anchor hash, 128 bits in all.
@@ -24,6 +24,7 @@ cut_texts() keeps all columns and trims spans to whole characters; the query cut
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ LENGTH, GRAM = 400, 128
 POSITION_BITS = 31
 #: Bytes of text in one pass of the kernel.
 PASS_BYTES = 1 << 20
+#: Kinds of run that one anchor may have in one partition: 10 MB of text.
+HOT_KINDS = 20_000
 #: A table of up to so many rows of at most 40 bytes is sent to all executors instead of shuffling the texts.
 BROADCAST_ROWS = 400_000
 
@@ -109,11 +112,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = memoryview((batch["text"][i].as_py() or "").encode())
             runs = batch["runs"][i].as_py()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["ah"] for r in runs], pa.int64()), pa.array([r["sh"] for r in runs], pa.int64()),
+                [pa.array([r["ah"] for r in runs], pa.int64()), pa.array([r["sh"] for r in runs], pa.int64()), pa.array([r["hot"] for r in runs], pa.bool_()),
                  *(pa.array([batch[c][i].as_py()] * len(runs), k) for c, k in zip(_DOC, (pa.bool_(), pa.int64(), pa.int64()))),
                  pa.array([r["lo"] for r in runs], pa.int32()),
                  pa.array([bytes(text[r["lo"] : r["lo"] + r["n"] + LENGTH - 1]) for r in runs], pa.binary())],
-                ["ah", "sh", *_DOC, "lo", "seg"],
+                ["ah", "sh", "hot", *_DOC, "lo", "seg"],
             )
 
 
@@ -126,8 +129,8 @@ def _stretches(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return on[cut], np.diff(np.concatenate((cut, [len(on)])))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of one sorted bucket; of its first and last anchor also the keys of all windows, for the boundaries."""
+def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of one sorted bucket; where anchors are split, also the keys of all windows of its first and last anchor, for the boundaries."""
 
     def group(part: pa.Table, edges: set[int]) -> Iterator[pa.RecordBatch]:
         part = part.combine_chunks()
@@ -151,7 +154,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(len(first), bool)), *(c.take(rows) for c in doc), pa.array(lo[owner[first]] + window[first], pa.int32()), pa.array(n, pa.int32()), zero, zero], _names(_FOUND)
         )
-        at = np.flatnonzero(np.isin(ah[owner], list(edges)))
+        at = np.flatnonzero(np.isin(ah[owner], list(edges))) if split else ah[:0]
         for i in range(0, len(at), 1 << 18):
             own = at[i : i + (1 << 18)]
             rows = pa.array(owner[own])
@@ -221,19 +224,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = kinds.filter("m > 1").select("ah", "sh")
     whole = runs_shared.join(again, ["ah", "sh"]).select(*_DOC, "lo", "n")
     # anchors with several kinds of run: one of each kind sends its text
-    several = kinds.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
-    wanted = kinds.join(several, "ah").groupBy(*_DOC).agg(F.collect_list(F.struct("ah", "sh", "lo", "n")).alias("runs"))
+    several = kinds.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah", (F.col("c") > HOT_KINDS).alias("hot"))
+    wanted = kinds.join(several, "ah").groupBy(*_DOC).agg(F.collect_list(F.struct("ah", "sh", "hot", "lo", "n")).alias("runs"))
     wanted = materialize(wanted, "wanted")
     rows = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
     segments = texts.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, _DOC)
-    segments = segments.select(*_DOC, "text", "runs").mapInArrow(_segments, "ah long, sh long, nid boolean, id long, th long, lo int, seg binary")
+    segments = segments.select(*_DOC, "text", "runs").mapInArrow(_segments, "ah long, sh long, hot boolean, nid boolean, id long, th long, lo int, seg binary")
     # repeated rows send the same text twice: one of each
     segments = materialize(segments, "segments").dropDuplicates(["ah", "sh"])
-    found = segments.repartitionByRange("ah", "sh").sortWithinPartitions("ah", "sh").mapInArrow(_compare, _FOUND)
-    found = materialize(found, "found")
-    edges = found.filter("edge").groupBy("ah", "wh").agg(F.count("*").alias("c")).filter("c > 1").select("ah", "wh")
-    across = found.filter("edge").join(edges, ["ah", "wh"]).select(*_DOC, "lo", "n")
-    windows = whole.union(found.filter("not edge").select(*_DOC, "lo", "n")).union(across)
+    found = segments.filter("not hot").repartitionByRange("ah").sortWithinPartitions("ah").mapInArrow(_compare, _FOUND)
+    found = materialize(found, "found").select(*_DOC, "lo", "n")
+    hot = segments.filter("hot")
+    if not hot.isEmpty():
+        hot = hot.repartitionByRange("ah", "sh").sortWithinPartitions("ah", "sh").mapInArrow(functools.partial(_compare, split=True), _FOUND)
+        hot = materialize(hot, "hot")
+        edges = hot.filter("edge").groupBy("ah", "wh").agg(F.count("*").alias("c")).filter("c > 1").select("ah", "wh")
+        across = hot.filter("edge").join(edges, ["ah", "wh"]).select(*_DOC, "lo", "n")
+        found = found.union(hot.filter("not edge").select(*_DOC, "lo", "n")).union(across)
+    windows = whole.union(found)
     # bounded by the windows of one document
     spans = windows.groupBy(*_DOC).agg(F.collect_set(F.struct("lo", "n")).alias("found")).mapInArrow(_merge, "nid boolean, id long, th long, spans array<int>")
     return materialize(spans, "spans")
