@@ -8,11 +8,12 @@ candidates; a candidate pair's similarity is estimated from the bit count of the
 corrected for the chance that different minima agree in their low bits, and only pairs far below the
 threshold go. Every other pair is confirmed on the full sets.
 
-A bucket is never expanded into all its pairs. First each member meets its bucket's pivot; what that
-links becomes one component, and pairs inside a component need no test. A few more rounds bring
-members of other components to new pivots; what then still lies in a bucket together, but in
-different components, is compared in full. So every bucket's links are found, at a cost linear in
-the size of a group of near copies.
+A bucket of more than SMALL members is never expanded into its pairs. Each member meets the bucket's
+pivot, and what that links becomes one component, inside which pairs need no test. Where a bucket
+then still holds several components, the members outside its largest one are a query set that meets
+all its members in blocks: the sets are compared inside the task by an inverted index, and a task
+emits only links that join components, a forest at most. So every link between candidates counts, and
+what is emitted grows linearly with a group of near copies.
 
 Defined results: null, empty and word-less texts have no shingles and are alone. A null doc_id counts
 as larger than any id. Repeated rows of one id are one document. An empty table gives no rows. Extra
@@ -39,8 +40,12 @@ BITS, PACKED = 2, 128
 #: A pair estimated below this isn't confirmed: six standard deviations under the threshold.
 ESTIMATE_FLOOR = 0.55
 PERCENT = 80
-#: Rounds with one pivot a bucket before what is left is compared in full.
-PIVOT_ROUNDS = 3
+#: Buckets of so many members at most are compared pair by pair.
+SMALL = 6
+#: Shingles on the two sides of a block when members meet inside a task.
+QUERY_SHINGLES, ROW_SHINGLES = 500_000, 1_500_000
+#: Up to so many class ids (25 bytes each) are sent to the executors to pick their texts; beyond that texts are shuffled.
+BROADCAST_ROWS = 500_000
 
 _RNG = np.random.default_rng(20240)
 _A = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -136,18 +141,112 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
+def _full_sets(wanted: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, set) of the class ids in `wanted`, from one text of each class."""
+    owners = classes.join(wanted.distinct(), "cid").select("cid", "nid", "id", "th")
+    owners = materialize(owners, "owners")
+    picked = texts.join(F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners, ["nid", "id", "th"])
+    return materialize(picked.select("cid", "text").mapInArrow(_sets, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Which candidate pairs (a, b) of class ids have the similarity, by their full sets."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    owners = classes.join(wanted, "cid").select("cid", "nid", "id", "th")
-    sets = texts.join(owners, ["nid", "id", "th"]).select("cid", "text").mapInArrow(_sets, "cid long, set binary").dropDuplicates(["cid"])
-    sets = materialize(sets, "sets")
+    sets = _full_sets(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))), texts, classes)
     both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
     out = materialize(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "links")
     discard(sets)
     return out
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join different components in each block of a partition sorted by block."""
+
+    def block(part: pa.RecordBatch) -> tuple[list[int], list[int]]:
+        cid, label, asked = part["cid"].to_numpy(), part["label"].to_numpy(), part["asked"].to_numpy(zero_copy_only=False)
+        size = part["n"].to_numpy()
+        signed = np.stack([part[f"s{i}"].to_numpy() for i in range(4)], 1).view(np.uint64)
+        rows = np.flatnonzero(~asked)
+        if not asked.any() or not len(rows):
+            return [], []
+        raw, at = np.frombuffer(part["set"].buffers()[2], np.uint8), np.asarray(part["set"].buffers()[1]).view(np.int32)[part["set"].offset :]
+        values = [raw[at[i] : at[i + 1]].copy().view(np.uint64) for i in range(part.num_rows)]
+        flat = np.concatenate([values[i] for i in rows])
+        owner = np.repeat(np.arange(len(rows)), size[rows])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        root = {int(x): int(x) for x in np.unique(label)}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        a, b = [], []
+        floor = ESTIMATE_FLOOR * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)
+        for q in np.flatnonzero(asked):
+            near = 100 * np.minimum(size[rows], size[q]) >= PERCENT * np.maximum(size[rows], size[q])
+            near &= label[rows] != label[q]
+            differ = signed[rows] ^ signed[q]
+            differ = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
+            near &= 1 - differ / PACKED >= floor
+            if not near.any():
+                continue
+            lo, hi = np.searchsorted(flat, values[q], "left"), np.searchsorted(flat, values[q], "right")
+            n = hi - lo
+            hits = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+            common = np.bincount(hits, minlength=len(rows))
+            for r in rows[near & (100 * common >= PERCENT * (size[rows] + size[q] - common))]:
+                x, y = find(int(label[q])), find(int(label[r]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(int(cid[q])), b.append(int(cid[r]))
+        return a, b
+
+    held: list[pa.RecordBatch] = []
+
+    def done(table: pa.Table):
+        one = table.combine_chunks().to_batches()[0]
+        a, b = block(one)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch["g"].to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for i, j in zip(cuts, cuts[1:]):
+            if held and held[-1]["g"][0].as_py() != g[i]:
+                yield done(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield done(pa.Table.from_batches(held))
+
+
+def _across(members: DataFrame, label: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between components that share a large bucket; None where no bucket holds two."""
+    own = members.join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    held = own.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("unit")).filter("labels > 1")
+    # who meets whom: the unit is the largest component of the bucket, the others ask
+    units = materialize(own.join(held.select("key", "unit"), "key").select("unit", "cid", "label").distinct(), "units")
+    if units.isEmpty():
+        return None
+    words_ = [f"s{i}" for i in range(4)]
+    sets = _full_sets(units.select("cid"), texts, classes)
+    units = units.join(classes.select("cid", "n", *words_), "cid").withColumn("asks", F.col("label") != F.col("unit"))
+    sides = units.groupBy("unit").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("q"))
+    sides = sides.select("unit", F.ceil(F.col("q") / QUERY_SHINGLES).cast("int").alias("qs"), F.ceil(F.col("n") / ROW_SHINGLES).cast("int").alias("rs"))
+    units = units.join(sides, "unit")
+    part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    queries = units.filter("asks").withColumn("q", part("qs")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1))).withColumn("asked", F.lit(True))
+    rows = units.withColumn("r", part("rs")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("asked", F.lit(False))
+    both = queries.unionByName(rows).select(F.xxhash64("unit", "q", "r").alias("g"), "cid", "label", "n", *words_, "asked").join(sets, "cid")
+    links = materialize(both.repartition("g").sortWithinPartitions("g").mapInArrow(_meet, "a long, b long"), "links")
+    discard(sets)
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row."""
     texts = _identified(docs)
@@ -157,41 +256,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "rep.nid", "rep.id", "rep.th", *words_, "bands")
     classes = materialize(classes, "classes")
     keyed = classes.select(F.explode("bands").alias("key"), "cid")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("pivot")).filter("m > 1").drop("m")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("pivot")).filter("m > 1")
     members = materialize(keyed.join(shared, "key"), "members")
     slim = classes.select("cid", "n", *words_)
-
-    links, label, tested = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn == 0:
-            pairs = members.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-        else:
-            own = members.join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-            mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pivot")).filter("lo <> hi")
-            own = own.join(mixed.select("key", "pivot"), "key")
-            if turn < PIVOT_ROUNDS:
-                at = own.filter("cid = pivot").select("key", F.col("label").alias("of"))
-                pairs = own.join(at, "key").filter("label <> of").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
-            else:
-                full = own.join(slim, "cid").select("key", "cid", "label", "n", *words_)
-                met = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y")
-                pairs = full.alias("x").join(full.alias("y"), met).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        near = pairs.alias("p").join(slim.alias("x"), F.col("p.a") == F.col("x.cid")).join(slim.alias("y"), F.col("p.b") == F.col("y.cid")).filter(_may_link("x", "y"))
-        near = materialize(near.select("p.a", "p.b"), "pairs")
-        if near.isEmpty():
-            if turn:
-                continue
-            break
-        tested = near if tested is None else tested.union(near)
-        found = _linked(near, texts, classes)
-        links = found if links is None else links.union(found)
-        label = components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "label")
-    labelled = classes.select("cid", "k1", "k2", "n", F.struct("nid", "id").alias("rep"))
-    if label is not None:
-        labelled = labelled.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    else:
-        labelled = labelled.withColumn("label", F.col("cid"))
+    few = members.filter(F.col("m") <= SMALL).select("key", "cid")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    pairs = pairs.union(members.filter((F.col("m") > SMALL) & (F.col("cid") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("cid").alias("b"))).distinct()
+    near = pairs.alias("p").join(slim.alias("x"), F.col("p.a") == F.col("x.cid")).join(slim.alias("y"), F.col("p.b") == F.col("y.cid")).filter(_may_link("x", "y"))
+    links = _linked(materialize(near.select("p.a", "p.b"), "pairs"), texts, classes)
+    label = components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "label")
+    more = _across(members.filter(F.col("m") > SMALL).select("key", "cid"), label, texts, classes)
+    if more is not None and not more.isEmpty():
+        label = components(links.union(more)).withColumnRenamed("id", "cid").withColumnRenamed("component", "label")
+    labelled = classes.select("cid", "k1", "k2", "n", F.struct("nid", "id").alias("rep")).join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = labelled.groupBy("label").agg(F.min("rep").alias("first"))
     labelled = labelled.join(first, "label").select("k1", "k2", "n", "first")
     out = signed.select("nid", "id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
