@@ -17,9 +17,9 @@ from . import fixtures
 FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
-def shingles(text):
+def shingles(text, size=2):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
-    return {*zip(words, words[1:])} if len(words) > 1 else {*words}
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
 def group(n, links):
@@ -37,9 +37,9 @@ def group(n, links):
     return [root(i) for i in range(n)]
 
 
-def brute(rows):
+def brute(rows, size=2):
     """Rows of one id are one document; a null id is larger than any other."""
-    sets, owners = [shingles(t) for _, t in rows], defaultdict(list)
+    sets, owners = [shingles(t, size) for _, t in rows], defaultdict(list)
     for i, s in enumerate(sets):
         for x in s:
             owners[x].append(i)
@@ -61,13 +61,22 @@ def key(r):
     return tuple((x is not None, x) for x in r)
 
 
-def check(spark, rows):
-    got = minhash.near_duplicates(fixtures.frame(spark, rows).repartition(4)).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+def check(spark, rows, size=2):
+    got = minhash.near_duplicates(fixtures.frame(spark, rows).repartition(4), size).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, size), key=key)
 
 
-def test_fixture(spark, sf):
-    check(spark, fixtures.documents(sf))
+@pytest.mark.parametrize("size", [2, 5])
+def test_fixture(spark, sf, size):
+    check(spark, fixtures.documents(sf), size)
+
+
+def test_keep_first(spark, sf):
+    rows = fixtures.documents(sf)
+    got = minhash.keep_first(fixtures.frame(spark, rows).repartition(4))
+    assert got.columns == fixtures.frame(spark, rows[:1]).columns
+    want = {(i, t) for (i, t), r in zip(rows, brute(rows, 5)) if r[3]}
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
 def test_groups_of_near_copies(spark):
@@ -96,7 +105,7 @@ def test_estimate(spark, percent):
     a = [f"w{i}" for i in range(1500)]
     b = a[: 15 * percent] + [f"v{i}" for i in range(1500 - 15 * percent)]
     batch = pa.RecordBatch.from_pydict({"nid": [False, False], "id": [1, 2], "th": [0, 0], "text": [" ".join(a), " ".join(b)]})
-    signed = next(iter(minhash._sign(iter([batch])))).to_pylist()
+    signed = next(iter(minhash._sign(iter([batch]), 2))).to_pylist()
     df = spark.createDataFrame([tuple(r[f"s{i}"] for r in signed for i in range(4))], ", ".join(f"c{i} long" for i in range(8)))
     from pyspark.sql import functions as F
 

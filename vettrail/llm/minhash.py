@@ -1,6 +1,7 @@
 """Near duplicates by b-bit MinHash.
 
-A document is its set of two-word shingles, each a 64-bit hash. Equal sets are one class, found by
+A document is its set of word shingles (five words unless told otherwise), each a 64-bit hash; a shorter
+text is one shingle. Equal sets are one class, found by
 two 64-bit hashes of the set, so exact copies cost one row however many there are. A class keeps the
 minima of HASHES hash functions only while it is signed: bands of ROWS minima become bucket keys, and
 the low BITS bits of each minimum are packed into four 64-bit words. Classes that share a bucket are
@@ -22,6 +23,7 @@ columns are ignored. Ties are settled by the smallest id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import FOLDED_VALUES, chunks, discard, materialize, mix, prefix_sums, range_hash, words
 from .components import components
 
+#: Words of a shingle.
+SHINGLE = 5
 #: 28 bands of 5: two sets at the threshold of 0.8 share no bucket with a chance of 1.5e-5.
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
@@ -54,18 +58,26 @@ _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _SIGNED = "nid boolean, id long, th long, n long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, in order."""
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of `size` words, in order."""
+    step = np.uint64(0x9E3779B97F4A7C15)
     for t in chunks(column):
         start, end, first = words(t)
         hashes = range_hash(prefix_sums(FOLDED_VALUES[t.data]), start, end)
+        n = max(0, len(hashes) - size + 1)
         with np.errstate(over="ignore"):
-            pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) if len(hashes) > 1 else hashes[:0]
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            if b - a >= 2:
-                yield np.unique(pairs[a : b - 1])
-            else:  # the whole sequence as one shingle, or none
-                yield mix(hashes[a:b] ^ np.uint64(0x5851F42D4C957F2D))
+            runs = hashes[:n].copy()
+            for j in range(1, size):
+                runs = runs * step + hashes[j : j + n]
+            runs = mix(runs)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                if b - a >= size:
+                    yield np.unique(runs[a : b - size + 1])
+                else:  # the whole sequence as one shingle, or none
+                    whole = hashes[a : min(a + 1, b)].copy()
+                    for j in range(a + 1, b):
+                        whole = whole * step + hashes[j]
+                    yield mix(whole ^ np.uint64(0x5851F42D4C957F2D + b - a))
 
 
 def _minima(values: np.ndarray) -> np.ndarray:
@@ -77,13 +89,13 @@ def _minima(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     weights = np.uint64(1) << (np.arange(PACKED // 4, dtype=np.uint64) * np.uint64(BITS))
     band = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
         size, keys = [], []
         minima = np.zeros((batch.num_rows, HASHES), np.uint32)
-        for i, values in enumerate(shingle_sets(batch["text"])):
+        for i, values in enumerate(shingle_sets(batch["text"], shingle)):
             size.append(len(values))
             with np.errstate(over="ignore"):
                 mixed = mix(values + np.uint64(0x632BE59BD9B4E019))
@@ -123,9 +135,9 @@ def _may_link(a: str, b: str) -> Column:
     return sizes & (estimate([col(a, f"s{i}") for i in range(4)], [col(b, f"s{i}") for i in range(4)]) >= ESTIMATE_FLOOR)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = pa.array([x.tobytes() for x in shingle_sets(batch["text"])], pa.binary())
+        sets = pa.array([x.tobytes() for x in shingle_sets(batch["text"], shingle)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch["cid"], sets], ["cid", "set"])
 
 
@@ -141,17 +153,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
-def _full_sets(wanted: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+def _full_sets(wanted: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """(cid, set) of the class ids in `wanted`, from one text of each class."""
     owners = classes.join(wanted.distinct(), "cid").select("cid", "nid", "id", "th")
     owners = materialize(owners, "owners")
     picked = texts.join(F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners, ["nid", "id", "th"])
-    return materialize(picked.select("cid", "text").mapInArrow(_sets, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+    return materialize(picked.select("cid", "text").mapInArrow(functools.partial(_sets, shingle=shingle), "cid long, set binary").dropDuplicates(["cid"]), "sets")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """Which candidate pairs (a, b) of class ids have the similarity, by their full sets."""
-    sets = _full_sets(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))), texts, classes)
+    sets = _full_sets(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))), texts, classes, shingle)
     both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
     out = materialize(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "links")
     discard(sets)
@@ -224,7 +236,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pa.Table.from_batches(held))
 
 
-def _across(members: DataFrame, label: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame | None:
+def _across(members: DataFrame, label: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int) -> DataFrame | None:
     """Links between components that share a large bucket; None where no bucket holds two."""
     own = members.join(label, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     held = own.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("unit")).filter("labels > 1")
@@ -233,7 +245,7 @@ def _across(members: DataFrame, label: DataFrame, texts: DataFrame, classes: Dat
     if units.isEmpty():
         return None
     words_ = [f"s{i}" for i in range(4)]
-    sets = _full_sets(units.select("cid"), texts, classes)
+    sets = _full_sets(units.select("cid"), texts, classes, shingle)
     units = units.join(classes.select("cid", "n", *words_), "cid").withColumn("asks", F.col("label") != F.col("unit"))
     sides = units.groupBy("unit").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("q"))
     sides = sides.select("unit", F.ceil(F.col("q") / QUERY_SHINGLES).cast("int").alias("qs"), F.ceil(F.col("n") / ROW_SHINGLES).cast("int").alias("rs"))
@@ -247,10 +259,10 @@ def _across(members: DataFrame, label: DataFrame, texts: DataFrame, classes: Dat
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row."""
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """(nid, id, th, n, first) of every row; first is the smallest (nid, id) of its group."""
     texts = _identified(docs)
-    signed = materialize(texts.mapInArrow(_sign, _SIGNED), "signed")
+    signed = materialize(texts.mapInArrow(functools.partial(_sign, shingle=shingle), _SIGNED), "signed")
     words_ = [f"s{i}" for i in range(4)]
     classes = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("nid", "id", "th")).alias("rep"), *(F.first(c).alias(c) for c in (*words_, "bands")))
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "rep.nid", "rep.id", "rep.th", *words_, "bands")
@@ -263,16 +275,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     pairs = pairs.union(members.filter((F.col("m") > SMALL) & (F.col("cid") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("cid").alias("b"))).distinct()
     near = pairs.alias("p").join(slim.alias("x"), F.col("p.a") == F.col("x.cid")).join(slim.alias("y"), F.col("p.b") == F.col("y.cid")).filter(_may_link("x", "y"))
-    links = _linked(materialize(near.select("p.a", "p.b"), "pairs"), texts, classes)
+    links = _linked(materialize(near.select("p.a", "p.b"), "pairs"), texts, classes, shingle)
     label = components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "label")
-    more = _across(members.filter(F.col("m") > SMALL).select("key", "cid"), label, texts, classes)
+    more = _across(members.filter(F.col("m") > SMALL).select("key", "cid"), label, texts, classes, shingle)
     if more is not None and not more.isEmpty():
         label = components(links.union(more)).withColumnRenamed("id", "cid").withColumnRenamed("component", "label")
     labelled = classes.select("cid", "k1", "k2", "n", F.struct("nid", "id").alias("rep")).join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = labelled.groupBy("label").agg(F.min("rep").alias("first"))
     labelled = labelled.join(first, "label").select("k1", "k2", "n", "first")
-    out = signed.select("nid", "id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
-    first = F.coalesce(F.col("first"), F.struct("nid", "id"))
-    doc_id = F.when(~F.col("nid"), F.col("id"))
-    component = F.when(~first["nid"], first["id"])
-    return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept"))
+    out = signed.select("nid", "id", "th", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
+    return out.select("nid", "id", "th", "n", F.coalesce("first", F.struct("nid", "id")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row."""
+    doc_id, component = F.when(~F.col("nid"), F.col("id")), F.when(~F.col("first.nid"), F.col("first.id"))
+    return _grouped(docs, shingle).select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The input's rows and columns, of each group of near duplicates the rows of its smallest doc_id; rows that repeat id and text are one."""
+    grouped = _grouped(docs, shingle)
+    gone = grouped.filter((F.col("nid") != F.col("first.nid")) | (F.col("id") != F.col("first.id"))).select("nid", "id", "th").distinct()
+    gone = materialize(gone, "gone")
+    again = materialize(grouped.groupBy("nid", "id", "th").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "again")
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    same = lambda other: (F.col("doc_id").isNull() == other["nid"]) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == other["id"]) & (text == other["th"])
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    kept = docs.join(small(gone), same(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    return kept.join(again, same(again), "left_anti").union(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

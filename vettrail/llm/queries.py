@@ -23,7 +23,7 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
