@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vettrail.model import KEYS, METADATA, OUTREACH, PAGES, RESULTS, SEARCHED, SPANS
 from vettrail.operators import attestations
-from vettrail.plans import verify
+from vettrail.plans import report, verify
 from vettrail.streaming.verification import verify_stream
 
 SEED, DAY = b"5" * 32, ("2026-01-01T00:00:00+00:00", "2027-01-01T00:00:00+00:00")
@@ -82,6 +82,15 @@ def test_json_holds_all_findings(verified):
     assert docs["illegal"]["tiers"] == {"illegal": 1, "harmful": 1}
 
 
+def test_reports(verified):
+    out = {r.msg_id: r for r in report.reports(verified).collect()}
+    assert out["illegal"].urgent and not out["clear"].urgent
+    text = out["illegal"].report
+    assert text.index("Illegal\n") < text.index("Harmful\n") and "Next:\n  Don't pay" in text
+    assert "Illegal" not in out["clear"].report
+    assert all("\u200b" not in (r.evidence or "") for r in report.shown(verify.long_findings(verified)).collect())
+
+
 def test_stream_gives_the_same(spark, lookups, verified, tmp_path):
     spark.createDataFrame(MESSAGES, OUTREACH).repartition(2).write.parquet(str(tmp_path / "in"))
     got = []

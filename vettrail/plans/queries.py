@@ -14,7 +14,7 @@ from ..operators import attestations, documents, employers, limits, postings
 from ..operators.senders import analyse_senders
 from ..operators.texts import scan_texts
 from ..sources import readers
-from . import derive, verify
+from . import derive, report, verify
 
 c = F.col
 #: Queries with a clock run at this moment.
@@ -209,6 +209,11 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.trace_steps(_verifications(spark, sf_dir))
 
 
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for every message."""
+    return report.reports(_verifications(spark, sf_dir))
+
+
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two calls per user in a day that begins with the first of them."""
     calls = _table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("client"), "ts", c("event_id").alias("seq"))
@@ -250,5 +255,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e_candidate_domains": candidate_domains, "e_employers": employer_evidence, "p_postings": posting_evidence, "l_span_reasons": span_reasons, "l_layers": span_layers,
         "l_body_styles": body_styles, "l_fonts": font_findings, "l_overlays": overlays, "l_provenance": provenance, "l_field_kinds": field_kinds, "l_documents": document_verdicts,
         "t_attestations": attestation_states, "t_digests": recipient_hashes, "o_verifications": verifications, "o_findings": verification_findings, "o_progress": progress_events,
-        "o_trace": trace, "z_rate_limits": rate_limits, "z_client_keys": client_keys, "s_anchors": page_anchors,
+        "o_trace": trace, "o_reports": written_reports, "z_rate_limits": rate_limits, "z_client_keys": client_keys, "s_anchors": page_anchors,
     }
