@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import finding, present
-from .text import around, found, matches, offset
+from ..model import finding, none, present
+from .text import around, found, let, matches, offset
 
 # Name, whether it is critical wherever it isn't visible, pattern.
 PATTERNS = (
@@ -44,21 +46,33 @@ def verdict(layer: Column, discussed: Column, critical: bool) -> tuple[Column, C
     return rank, confidence
 
 
-def scan(text: Column, layer: Column) -> Column:
-    """One finding per pattern, at its first match."""
-    discussed, out = matches(text, DISCUSSION), []
-    for name, critical, pattern in PATTERNS:
-        hit, at = found(text, pattern), offset(text, pattern)
-        rank, confidence = verdict(layer, discussed, critical)
-        size = F.length(hit)
-        low = F.greatest(at - 70, F.lit(0))
+def _finding(text: Column, layer: Column, name: str, rank: Column, confidence: Column) -> Callable[[Column], Column]:
+    """The finding for a match (hit, at)."""
+
+    def made(m: Column) -> Column:
+        hit, at, size = m["hit"], m["at"], F.length(m["hit"])
         evidence = F.concat(
-            F.when(low > 0, "…").otherwise(""), F.replace(around(text, at, size, 70), F.lit("\n"), F.lit("⏎")), F.when(at + size + 70 < F.length(text), "…").otherwise("")
+            F.when(at > 70, "…").otherwise(""), F.replace(around(text, at, size, 70), F.lit("\n"), F.lit("⏎")), F.when(at + size + 70 < F.length(text), "…").otherwise("")
         )
-        out.append(F.when(hit.isNotNull() & (F.trim(text) != ""), finding(
+        return finding(
             f"INJECTION_{name.upper()}", f"Instruction to a machine reader: {name.replace('_', ' ')}", rank, "Text that addresses whatever reads the file, not a person.", layer=layer,
             evidence=evidence, location=F.concat(F.lit("char offset "), at.cast("string")), confidence=confidence,
             remediation=F.when(rank >= 3, "Show it to a person and keep the file.").otherwise("Nothing to do; noted for completeness."),
             meta={"pattern": F.lit(name), "matched": F.substring(hit, 1, 200), "offset": at},
-        )))
-    return present(*out)
+        )
+
+    return made
+
+
+def scan(text: Column, layer: Column) -> Column:
+    """One finding per pattern, at its first match."""
+
+    def each(discussed: Column) -> Column:
+        out = []
+        for name, critical, pattern in PATTERNS:
+            rank, confidence = verdict(layer, discussed, critical)
+            match = F.struct(found(text, pattern).alias("hit"), offset(text, pattern).alias("at"))
+            out.append(F.when(matches(text, pattern), let(match, _finding(text, layer, name, rank, confidence))))
+        return present(*out)
+
+    return F.when(F.trim(text) != "", let(matches(text, DISCUSSION), each)).otherwise(none())

@@ -48,13 +48,13 @@ def finding(
         as_column(code).alias("code"), as_column(title).alias("title"), severity(rank).alias("severity"), rank.cast("int").alias("rank"), as_column(layer).alias("layer"),
         as_column(detail).alias("detail"), (F.lit("") if evidence is None else evidence).alias("evidence"), (F.lit("") if location is None else location).alias("location"),
         as_column(confidence).cast("double").alias("confidence"), as_column(remediation).alias("remediation"),
-        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).cast("map<string,string>").alias("meta"),
-    ).cast(FINDING)
+        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("meta"),
+    )
 
 
 def present(*candidates: Column) -> Column:
     """Array of the candidates that aren't null, in order."""
-    return F.filter(F.array(*[c.cast(FINDING) for c in candidates]), lambda x: x.isNotNull())
+    return F.filter(F.array(*candidates), lambda x: x.isNotNull())
 
 
 def none() -> Column:

@@ -73,17 +73,25 @@ def careers_pages(domains: DataFrame, pages: DataFrame) -> DataFrame:
     return first.select("domain", "final_url", "status", "text", "links")
 
 
-def check_postings(asked: DataFrame, pages: DataFrame) -> DataFrame:
-    """(domain, role, checked, found, careers_url, matched, posting_findings) of each distinct (domain, role); found is null where it isn't established."""
-    asked = asked.select("domain", "role").distinct()
-    complete = (F.coalesce("domain", F.lit("")) != "") & (F.trim(F.coalesce("role", F.lit(""))) != "")
-    out = asked.join(careers_pages(asked.filter(complete), pages), "domain", "left").withColumn("complete", complete)
-    out = out.withColumn("checked", F.col("complete") & F.col("final_url").isNotNull())
-    out = out.withColumn("matched", F.when(F.col("checked"), role_present(F.col("text"), F.col("links"), F.col("role"))))
-    out = out.withColumn("found", F.when(F.col("checked"), F.col("matched").isNotNull()))
+def judge_postings(df: DataFrame, domain: str, role: str) -> DataFrame:
+    """Adds posting_checked, posting_found, careers_url, matched and posting_findings to rows that carry a careers page
+    (final_url, text, links; null where none was found), which go. found is null where it isn't established."""
     c = F.col
+    complete = (F.coalesce(c(domain), F.lit("")) != "") & (F.trim(F.coalesce(c(role), F.lit(""))) != "")
+    df = df.withColumn("posting_checked", complete & c("final_url").isNotNull())
+    df = df.withColumn("matched", F.when(c("posting_checked"), role_present(c("text"), c("links"), c(role))))
     listed = finding("POSTING_FOUND", "The role is listed by the employer", "info", "The employer's own careers page names the role.", evidence=F.concat(c("matched"), F.lit("  ("), c("final_url"), F.lit(")")), remediation="Apply through that page.", meta={"url": c("final_url")})
     missing = finding("POSTING_NOT_LISTED", "The role isn't on the careers page", "medium", "Roles are filled unlisted at times; most are listed.", evidence=F.concat(F.lit("searched "), c("final_url")), confidence=0.6, remediation="Ask for the posting's address.", meta={"url": c("final_url")})
-    unseen = finding("POSTING_NOT_CHECKED", "The careers page couldn't be read", "info", "Nothing follows from this about the role.", evidence=F.concat(F.lit("no careers page found at "), c("domain")), remediation="Open the company's site yourself.")
-    findings = F.when(~c("complete"), none()).when(~c("checked"), F.array(unseen)).when(c("found"), F.array(listed)).otherwise(F.array(missing))
-    return out.select("domain", "role", "checked", "found", F.when(c("checked"), c("final_url")).alias("careers_url"), "matched", findings.alias("posting_findings"))
+    unseen = finding("POSTING_NOT_CHECKED", "The careers page couldn't be read", "info", "Nothing follows from this about the role.", evidence=F.concat(F.lit("no careers page found at "), c(domain)), remediation="Open the company's site yourself.")
+    findings = F.when(~complete, none()).when(~c("posting_checked"), F.array(unseen)).when(c("matched").isNotNull(), F.array(listed)).otherwise(F.array(missing))
+    return df.withColumns({
+        "posting_found": F.when(c("posting_checked"), c("matched").isNotNull()), "posting_findings": findings, "careers_url": F.when(c("posting_checked"), c("final_url")),
+    }).drop("final_url", "status", "text", "links")
+
+
+def check_postings(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """(domain, role, checked, found, careers_url, matched, posting_findings) of each distinct (domain, role)."""
+    asked = asked.select("domain", "role").distinct()
+    named = asked.filter(F.coalesce("domain", F.lit("")) != "")
+    out = judge_postings(asked.join(careers_pages(named, pages), "domain", "left"), "domain", "role")
+    return out.select("domain", "role", F.col("posting_checked").alias("checked"), F.col("posting_found").alias("found"), "careers_url", "matched", "posting_findings")

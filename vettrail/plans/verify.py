@@ -12,7 +12,7 @@ from ..model import FINDINGS, by_severity, max_rank, none, severity
 from ..operators.attestations import check_attestations
 from ..operators.documents import scan_documents
 from ..operators.employers import verify_employers
-from ..operators.postings import check_postings
+from ..operators.postings import careers_pages, judge_postings
 from ..operators.senders import analyse_senders, has
 
 #: The checks in the order in which they report.
@@ -86,9 +86,10 @@ def verify_outreach(outreach: DataFrame, lookups: Lookups, now: Column) -> DataF
     m = m.withColumn("asked_role", F.coalesce("role", "attested_role"))
     wanted = F.coalesce("check_posting", F.lit(False)) & has(c("known_domain")) & has(c("asked_role"))
     m = m.withColumn("posting_wanted", wanted)
-    postings = check_postings(m.filter("posting_wanted").select(c("known_domain").alias("domain"), c("asked_role").alias("role")), lookups.pages)
-    postings = postings.select(c("domain").alias("known_domain"), c("role").alias("asked_role"), c("checked").alias("posting_checked"), c("found").alias("posting_found"), "posting_findings", F.lit(True).alias("posting_wanted"))
-    m = m.join(postings, ["known_domain", "asked_role", "posting_wanted"], "left")
+    careers = careers_pages(employers.filter(has(c("known_domain"))).select(c("known_domain").alias("domain")), lookups.pages)
+    # rows that don't ask for a posting meet no page and get no finding
+    m = m.withColumn("_site", F.when(c("posting_wanted"), c("known_domain")))
+    m = judge_postings(m.join(careers.withColumnRenamed("domain", "_site"), "_site", "left"), "_site", "asked_role")
     m = m.join(scan_documents(lookups.spans, lookups.metadata), "document_id", "left")
     empty = lambda name: F.coalesce(c(name), none()).cast(FINDINGS)
     parts = ("attestation_findings", "domain_findings", "practice_findings", "employer_findings", "document_findings", "posting_findings")
