@@ -14,8 +14,8 @@ import struct
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each generation of the two caches of one Python worker.
-CACHE_ENTRIES = 450_000
+#: Entries of each generation of the two caches that a Python worker keeps between tasks, unless told otherwise: some 80 MB.
+CACHE_ENTRIES = 300_000
 
 
 def default_vocabulary() -> str:
@@ -40,15 +40,15 @@ class _Pieces(dict):
     Two generations: a full young one becomes the old one, and what is asked for again comes back.
     """
 
-    def __init__(self, find):
-        self.find, self.old = find, {}
+    def __init__(self, find, most: int):
+        self.find, self.most, self.old = find, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
             out = self.find(piece)
         if len(piece) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = out
@@ -58,8 +58,8 @@ class _Pieces(dict):
 class _Spaced(_Pieces):
     """Ids of a space and what follows it up to the next space, which may be several pre-tokens."""
 
-    def __init__(self, find, split, plain):
-        super().__init__(self._several)
+    def __init__(self, find, split, plain, most: int):
+        super().__init__(self._several, most)
         self.one, self.split, self.plain = find, split, plain
 
     def _several(self, chunk: str) -> bytes:
@@ -74,7 +74,7 @@ class _Spaced(_Pieces):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,8 +85,8 @@ class Encoder:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.alphabet = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
         self.space = " ".translate(self.alphabet)
-        self.plain = _Pieces(self._merge)
-        self.spaced = _Spaced(self._merge, self.split, self.plain)
+        self.plain = _Pieces(self._merge, entries)
+        self.spaced = _Spaced(self._merge, self.split, self.plain, entries)
 
     def _merge(self, piece: str) -> bytes:
         marked = self.space + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(self.alphabet)
@@ -108,5 +108,5 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
+    return Encoder(path, entries)

@@ -41,6 +41,8 @@ LENGTH, GRAM = 400, 128
 POSITION_BITS = 31
 #: Bytes of text in one pass of the kernel.
 PASS_BYTES = 1 << 20
+#: Rows of text that are compared at once, whole anchors at least.
+COMPARED_ROWS = 3_000
 #: Kinds of run that one anchor may have in one partition: 10 MB of text.
 HOT_KINDS = 20_000
 #: A table of up to so many rows of at most 40 bytes is sent to all executors instead of shuffling the texts.
@@ -140,11 +142,11 @@ def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator
         for t in chunks(seg, PASS_BYTES):
             hashes = _grams(prefix_sums(BYTE_VALUES[t.data]), LENGTH)
             n = t.end - t.start - LENGTH + 1
-            own = np.repeat(np.arange(t.rows.start, t.rows.stop), n)
-            at = np.arange(len(own)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            own = np.repeat(np.arange(t.rows.start, t.rows.stop, dtype=np.int32), n)
+            at = np.arange(len(own), dtype=np.int32) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int32), n)
             keys.append(hashes[at + t.start[own - t.rows.start]]), owner.append(own), window.append(at)
         keys, owner, window = map(np.concatenate, (keys, owner, window))
-        twice = repeated(mix(keys ^ mix(ah[owner].view(np.uint64))))
+        twice = repeated(mix(keys ^ mix(ah.view(np.uint64))[owner]))
         lo = part["lo"].to_numpy()
         doc = [part[c].combine_chunks() for c in _DOC]
         doc = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in doc]
@@ -172,7 +174,7 @@ def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator
             begun = batch["ah"][0].as_py()
         held.append(batch)
         size += batch.num_rows
-        if size >= 20_000:
+        if size >= COMPARED_ROWS:
             # all but the last anchor, of which more may come
             whole = pa.Table.from_batches(held)
             ah = whole["ah"].to_numpy()

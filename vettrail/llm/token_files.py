@@ -26,6 +26,8 @@ from .bytebpe import default_vocabulary, encoder
 from .common import materialize, scratch_path
 
 END_ID = 0
+#: Entries of the encoder's caches: this operator shares its executor with nothing else that is large.
+CACHE_ENTRIES = 450_000
 #: Rows between two entries of ORC's row index, and bytes of a stripe.
 INDEX_STRIDE, STRIPE_BYTES = 2_000, 16 << 20
 #: Documents that one Arrow batch of ids may hold: 20,000 words are some 60,000 ids.
@@ -34,7 +36,7 @@ IDS_PER_BATCH = 1 << 21
 
 def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, CACHE_ENTRIES)
         end = np.array([END_ID], "<u4").tobytes()
 
         def flush(keys, ties, packed):
