@@ -47,7 +47,7 @@ PERCENT = 80
 #: Buckets of so many members at most are compared pair by pair.
 SMALL = 6
 #: Shingles on the two sides of a block when members meet inside a task.
-QUERY_SHINGLES, ROW_SHINGLES = 500_000, 1_500_000
+QUERY_SHINGLES, ROW_SHINGLES = 250_000, 250_000
 #: Up to so many class ids (25 bytes each) are sent to the executors to pick their texts; beyond that texts are shuffled.
 BROADCAST_ROWS = 500_000
 
