@@ -35,6 +35,8 @@ NEIGHBOURS, MOST_NEIGHBOURS, LISTED_BY = 10, 40, 12
 TABLES, CELL, MOST_IN_CELL = 6, 40, 80
 #: Refinement ends when fewer than this share of the entries changed, or after so many turns.
 CHANGED, TURNS = 0.002, 6
+#: Turns after lists were enlarged; whatever they leave saturated is compared in blocks.
+ENLARGED_TURNS = 2
 #: Sampled vectors of the audit, share of their links that must be found, repairs at most.
 AUDIT_ROWS, RECALL, REPAIRS = 300, 0.97, 2
 #: Sides of a block when a query set meets all rows.
@@ -70,10 +72,26 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple[
         yield out(pa.Table.from_batches(held))
 
 
-def _matrix(column: pa.Array, a: int, b: int) -> np.ndarray:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes, which pass between JVM and Python as they are; floats stay floats."""
+    for batch in batches:
+        lists = batch["e"]
+        at, kind = np.asarray(lists.offsets, np.int64), "<f4" if lists.type.value_type == pa.float32() else "<f8"
+        flat = np.ascontiguousarray(np.asarray(lists.values), kind)
+        packed = pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if n == "e" else batch[n] for n in batch.schema.names], batch.schema.names)
+
+
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Packed vectors of one length as rows in double precision."""
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return raw.view("<f4" if len(raw) == 4 * dim * len(column) else "<f8").reshape(len(column), dim).astype(np.float64)
+
+
+def _matrix(column: pa.Array, dim: int, a: int, b: int) -> np.ndarray:
     """Unit rows in double precision."""
-    part = column.slice(a, b - a)
-    x = np.asarray(part.flatten(), np.float64).reshape(b - a, -1)
+    x = _rows(column.slice(a, b - a), dim)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -91,7 +109,7 @@ def _cells(keep: int) -> Callable:
             for a, b in zip(at[:-1], at[1:]):
                 if b - a < 2:
                     continue
-                x = _matrix(rows["e"], a, b)
+                x = _matrix(rows["e"], rows["dim"][a].as_py(), a, b)
                 like = x @ x.T
                 np.fill_diagonal(like, -2)
                 k = min(keep, b - a - 1)
@@ -109,7 +127,7 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(at[:-1], at[1:]):
             if b - a < 2:
                 continue
-            x = _matrix(rows["e"], a, b)
+            x = _matrix(rows["e"], rows["dim"][a].as_py(), a, b)
             like = x @ x.T
             np.fill_diagonal(like, -2)
             i, j = np.nonzero((like > end[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]))
@@ -127,7 +145,7 @@ def _blocks(threshold: float) -> Callable:
                 asked = rows["asked"].slice(a, b - a).to_numpy(zero_copy_only=False)
                 if not asked.any() or asked.all():
                     continue
-                x, ids, m = _matrix(rows["e"], a, b), rows["x"].to_numpy()[a:b], rows["m"].to_numpy()[a:b]
+                x, ids, m = _matrix(rows["e"], rows["dim"][a].as_py(), a, b), rows["x"].to_numpy()[a:b], rows["m"].to_numpy()[a:b]
                 dense = rows["dense"].slice(a, b - a).to_numpy(zero_copy_only=False)[~asked]
                 q, r = ids[asked], ids[~asked]
                 linked = (x[asked] @ x[~asked].T >= threshold) & (q[:, None] != r[None, :])
@@ -163,7 +181,7 @@ def _against_all(classes: DataFrame, asked: DataFrame, dense: bool, threshold: f
     marked = marked.join(sides, ["label", "dim"])
     part = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
     group = lambda q, r: F.xxhash64("label", "dim", q, r).alias("g")
-    keep = ["x", "e", "m"]
+    keep = ["x", "e", "dim", "m"]
     queries = marked.filter("asks").withColumn("q", part("qs")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
     rows = marked.withColumn("r", part("rs")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
     both = queries.select(group("q", "r"), *keep, F.lit(True).alias("asked"), F.lit(False).alias("dense")).union(
@@ -189,7 +207,7 @@ def _tables(first: int, tables: int) -> Callable:
             dims, codes = batch["dim"].to_numpy(), np.zeros((batch.num_rows, tables), np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                x = np.asarray(batch["e"].take(pa.array(at)).flatten(), np.float64).reshape(len(at), d)
+                x = _rows(batch["e"].take(pa.array(at)), int(d))
                 for t in range(tables):
                     planes = np.random.default_rng([77, first + t]).standard_normal((20, d))
                     codes[at, t] = ((x @ planes.T > 0) << np.arange(20)).sum(1)
@@ -201,20 +219,20 @@ def _tables(first: int, tables: int) -> Callable:
 
 def _first_lists(classes: DataFrame, first: int, tables: int, kind: str) -> DataFrame:
     """Edges among vectors that share a cell of a table. Cells too large are dealt out at random; refinement joins them."""
-    coded = classes.select("x", "label", "dim", "e").mapInArrow(_tables(first, tables), f"x long, label {kind}, dim int, e array<double>, codes array<long>")
+    coded = classes.select("x", "label", "dim", "e").mapInArrow(_tables(first, tables), f"x long, label {kind}, dim int, e binary, codes array<long>")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     bits = sizes.select("label", "dim", F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL)))).cast("int").alias("bits"))
     cells = coded.join(bits, ["label", "dim"]).select("x", "e", "label", "dim", "bits", F.posexplode("codes").alias("t", "code"))
-    cells = cells.withColumn("cell", F.xxhash64("label", "dim", "t", F.expr("code & (shiftleft(1L, bits) - 1)"))).drop("label", "dim", "code", "bits")
+    cells = cells.withColumn("cell", F.xxhash64("label", "dim", "t", F.expr("code & (shiftleft(1L, bits) - 1)"))).drop("label", "code", "bits")
     held = cells.groupBy("cell").agg(F.count("*").alias("n"))
     dealt = cells.join(held, "cell").withColumn("g", F.xxhash64("cell", F.pmod(F.xxhash64("x", "t"), F.ceil(F.col("n") / MOST_IN_CELL))))
-    return dealt.select("g", "x", "e").repartition("g").sortWithinPartitions("g").mapInArrow(_cells(NEIGHBOURS), _EDGES)
+    return dealt.select("g", "x", "e", "dim").repartition("g").sortWithinPartitions("g").mapInArrow(_cells(NEIGHBOURS), _EDGES)
 
 
-def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int) -> DataFrame:
-    """Introductions until few entries change."""
-    vectors = classes.select("x", "e")
-    for turn in range(TURNS):
+def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int, turns: int = TURNS) -> DataFrame:
+    """Introductions until few entries change, `turns` times at most."""
+    vectors = classes.select("x", "e", "dim")
+    for turn in range(turns):
         worst = lists.groupBy("u").agg(F.min("s").alias("s"), F.count("*").alias("c"))
         if size is not None:
             worst = worst.join(size, "u", "left").withColumn("k", F.coalesce("k", F.lit(NEIGHBOURS)))
@@ -226,7 +244,7 @@ def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int
         sides = sides.groupBy("g", "x").agg(F.max("fresh").alias("fresh"))
         active = sides.groupBy("g").agg(F.max("fresh").alias("f")).filter("f").select("g")
         met = sides.join(active, "g").join(vectors, "x").join(worst, "x")
-        offered = met.select("g", "x", "e", "worst", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(_introduce, _EDGES)
+        offered = met.select("g", "x", "e", "dim", "worst", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(_introduce, _EDGES)
         old = lists.select("u", "v", "s", F.lit(False).alias("fresh"))
         lists = materialize(_best(old.union(offered.withColumn("fresh", F.lit(True))), size).select("u", "v", "s", "fresh"), "lists")
         if lists.filter("fresh").count() <= CHANGED * n * NEIGHBOURS:
@@ -237,14 +255,16 @@ def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row."""
     e = F.col("e")
-    rows = vectors.select(F.col("vec_id").isNull().alias("nid"), F.coalesce(F.col("vec_id").cast("long"), F.lit(0)).alias("id"), "label", F.col("embedding").cast("array<double>").alias("e"))
+    rows = vectors.select(F.col("vec_id").isNull().alias("nid"), F.coalesce(F.col("vec_id").cast("long"), F.lit(0)).alias("id"), "label", F.col("embedding").alias("e"))
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("h1", F.xxhash64("e")).withColumn("h2", F.xxhash64(F.lit(7), "e"))
     kind = dict(vectors.dtypes)["label"]
     same = ["label", "h1", "h2"]
     classes = rows.filter("ok").groupBy(*same).agg(F.count("*").alias("m"), F.min(F.struct("nid", "id")).alias("rep"), F.first("e").alias("e"))
-    classes = materialize(classes.withColumn("dim", F.size("e")).withColumn("x", F.monotonically_increasing_id()), "classes")
+    classes = classes.withColumn("dim", F.size("e")).withColumn("x", F.monotonically_increasing_id())
+    fields = ", ".join(f"{f.name} {'binary' if f.name == 'e' else f.dataType.simpleString()}" for f in classes.schema)
+    classes = materialize(classes.mapInArrow(_packed, fields), "classes")
     n = classes.count()
 
     lists = materialize(_best(_first_lists(classes, 0, TABLES, kind).withColumn("fresh", F.lit(True)), None).select("u", "v", "s", "fresh"), "lists")
@@ -259,7 +279,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
                 break
             size = full if size is None else materialize(size.union(full).groupBy("u").agg(F.max("k").alias("k")), "sizes")
             lists = lists.join(full.select("u", F.lit(True).alias("again")), "u", "left").select("u", "v", "s", (F.col("fresh") | F.coalesce("again", F.lit(False))).alias("fresh"))
-            lists = _refine(materialize(lists, "lists"), classes, size, n)
+            lists = _refine(materialize(lists, "lists"), classes, size, n, ENLARGED_TURNS)
         links = lists.filter(F.col("s") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         links = materialize(links, "links")
         dense = lists.groupBy("u").agg(F.count("*").alias("c"), F.min("s").alias("s")).filter((F.col("s") >= threshold) & (F.col("c") >= MOST_NEIGHBOURS)).select(F.col("u").alias("x"))
