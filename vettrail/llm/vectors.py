@@ -127,11 +127,15 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(at[:-1], at[1:]):
             if b - a < 2:
                 continue
-            x = _matrix(rows["e"], rows["dim"][a].as_py(), a, b)
+            x, own, new = _matrix(rows["e"], rows["dim"][a].as_py(), a, b), ids[a:b], fresh[a:b]
             like = x @ x.T
+            # an entry that is listed both ways stands twice, one after the other: the first one counts
+            twice = np.concatenate(([False], own[1:] == own[:-1]))
+            new = new | np.concatenate((twice[1:] & new[1:], [False]))
+            like[:, twice] = like[twice] = -2
             np.fill_diagonal(like, -2)
-            i, j = np.nonzero((like > end[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]))
-            u.append(ids[a:b][i]), v.append(ids[a:b][j]), s.append(like[i, j])
+            i, j = np.nonzero((like > end[a:b, None]) & (new[:, None] | new[None, :]))
+            u.append(own[i]), v.append(own[j]), s.append(like[i, j])
         yield _edges(u, v, s)
 
 
@@ -190,13 +194,16 @@ def _against_all(classes: DataFrame, asked: DataFrame, dense: bool, threshold: f
     return both.repartition("g").sortWithinPartitions("g").mapInArrow(_blocks(threshold), "kind int, a long, b long")
 
 
+_LISTS = ["u", "v", "s", "fresh", "worst"]
+
+
 def _best(edges: DataFrame, size: DataFrame | None) -> DataFrame:
-    """Each u's best entries, as many as its list holds."""
-    one = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    ranked = one.withColumn("rank", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v")))
-    if size is None:
-        return ranked.filter(F.col("rank") <= NEIGHBOURS)
-    return ranked.join(size, "u", "left").filter(F.col("rank") <= F.coalesce("k", F.lit(NEIGHBOURS))).drop("k")
+    """Each u's best entries, as many as its list holds, with the last one's similarity where the list is full. One shuffle, by u."""
+    one = edges.select("u", "v", "s", "fresh").repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    one = one.withColumn("k", F.lit(NEIGHBOURS)) if size is None else one.join(size, "u", "left").withColumn("k", F.coalesce("k", F.lit(NEIGHBOURS)))
+    own = W.partitionBy("u")
+    ranked = one.withColumn("rank", F.row_number().over(own.orderBy(F.desc("s"), "v"))).filter(F.col("rank") <= F.col("k"))
+    return ranked.withColumn("worst", F.coalesce(F.max(F.when(F.col("rank") == F.col("k"), F.col("s"))).over(own), F.lit(-2.0))).select(*_LISTS)
 
 
 def _tables(first: int, tables: int) -> Callable:
@@ -233,20 +240,16 @@ def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int
     """Introductions until few entries change, `turns` times at most."""
     vectors = classes.select("x", "e", "dim")
     for turn in range(turns):
-        worst = lists.groupBy("u").agg(F.min("s").alias("s"), F.count("*").alias("c"))
-        if size is not None:
-            worst = worst.join(size, "u", "left").withColumn("k", F.coalesce("k", F.lit(NEIGHBOURS)))
-        else:
-            worst = worst.withColumn("k", F.lit(NEIGHBOURS))
-        worst = worst.select(F.col("u").alias("x"), F.when(F.col("c") >= F.col("k"), F.col("s")).otherwise(F.lit(-2.0)).alias("worst"))
+        worst = lists.groupBy(F.col("u").alias("x")).agg(F.max("worst").alias("worst"))
+        nodes = vectors.join(worst, "x", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
         listed_by = lists.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(turn))))).filter(F.col("r") <= LISTED_BY)
         sides = lists.select(F.col("u").alias("g"), F.col("v").alias("x"), "fresh").union(listed_by.select(F.col("v").alias("g"), F.col("u").alias("x"), "fresh"))
-        sides = sides.groupBy("g", "x").agg(F.max("fresh").alias("fresh"))
-        active = sides.groupBy("g").agg(F.max("fresh").alias("f")).filter("f").select("g")
-        met = sides.join(active, "g").join(vectors, "x").join(worst, "x")
-        offered = met.select("g", "x", "e", "dim", "worst", "fresh").repartition("g").sortWithinPartitions("g").mapInArrow(_introduce, _EDGES)
+        # groups without a fresh entry have made their introductions
+        sides = sides.withColumn("live", F.max("fresh").over(W.partitionBy("g"))).filter("live").drop("live")
+        met = sides.join(nodes, "x").select("g", "x", "e", "dim", "worst", "fresh")
+        offered = met.repartition("g").sortWithinPartitions("g", "x").mapInArrow(_introduce, _EDGES)
         old = lists.select("u", "v", "s", F.lit(False).alias("fresh"))
-        lists = materialize(_best(old.union(offered.withColumn("fresh", F.lit(True))), size).select("u", "v", "s", "fresh"), "lists")
+        lists = materialize(_best(old.union(offered.withColumn("fresh", F.lit(True))), size), "lists")
         if lists.filter("fresh").count() <= CHANGED * n * NEIGHBOURS:
             break
     return lists
@@ -267,7 +270,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = materialize(classes.mapInArrow(_packed, fields), "classes")
     n = classes.count()
 
-    lists = materialize(_best(_first_lists(classes, 0, TABLES, kind).withColumn("fresh", F.lit(True)), None).select("u", "v", "s", "fresh"), "lists")
+    lists = materialize(_best(_first_lists(classes, 0, TABLES, kind).withColumn("fresh", F.lit(True)), None), "lists")
     lists, size = _refine(lists, classes, None, n), None
     for repair in range(REPAIRS + 1):
         k = NEIGHBOURS
@@ -278,7 +281,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             if full.isEmpty():
                 break
             size = full if size is None else materialize(size.union(full).groupBy("u").agg(F.max("k").alias("k")), "sizes")
-            lists = lists.join(full.select("u", F.lit(True).alias("again")), "u", "left").select("u", "v", "s", (F.col("fresh") | F.coalesce("again", F.lit(False))).alias("fresh"))
+            lists = lists.join(full.select("u", F.lit(True).alias("again")), "u", "left").select("u", "v", "s", (F.col("fresh") | F.coalesce("again", F.lit(False))).alias("fresh"), F.when(F.col("again"), -2.0).otherwise(F.col("worst")).alias("worst"))
             lists = _refine(materialize(lists, "lists"), classes, size, n, ENLARGED_TURNS)
         links = lists.filter(F.col("s") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         links = materialize(links, "links")
@@ -293,7 +296,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         if repair == REPAIRS or not want or found >= RECALL * want:
             break
         extra = _first_lists(classes, TABLES * (repair + 1), TABLES, kind).withColumn("fresh", F.lit(True))
-        lists = materialize(_best(lists.union(extra), size).select("u", "v", "s", "fresh"), "lists")
+        lists = materialize(_best(lists.select("u", "v", "s", "fresh").union(extra), size), "lists")
         lists = _refine(lists, classes, size, n)
 
     pairs, sums = links, None
