@@ -55,7 +55,7 @@ INSTRUCTIONS = (
 LAYER = "CASE doc_id % 4 WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' WHEN 2 THEN 'metadata' ELSE 'unknown' END"
 #: Texts with instructions by doc_id % 10 and hidden or reordering characters by doc_id % 9.
 TEXTS = (
-    f"SELECT doc_id, {LAYER} AS layer, concat(substr(text, 1, 400), chr(10), CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(INSTRUCTIONS))
+    f"SELECT doc_id, {LAYER} AS layer, concat(text, chr(10), CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(INSTRUCTIONS))
     + " END, CASE doc_id % 9 WHEN 0 THEN ' \U000e0068\U000e0069' WHEN 1 THEN '﻿' WHEN 2 THEN repeat('​', 3) WHEN 3 THEN repeat('​', 20)"
     + " WHEN 4 THEN ' ‮abc' WHEN 5 THEN ' ⁧שלום⁩' WHEN 6 THEN ' pаypal' WHEN 7 THEN ' аpple bаnk cаrd oрen' ELSE '' END) AS body FROM {documents}"
 )
