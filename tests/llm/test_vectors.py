@@ -83,3 +83,19 @@ def test_dense_ball(spark):
 def test_few_rows(spark, rows):
     got = vectors.near_vectors(frame(spark, rows)).collect()
     assert [tuple(r) for r in got] == [(i, 0, i, True) for i, _, _ in rows]
+
+
+def pairs(seed, n, linked, dim=24):
+    """`n` vectors of one label, `linked` of which have one near copy each."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.normal(size=dim).astype(np.float32).tolist(), 1) for i in range(n)]
+    return rows + [(10_000 + i, (np.array(rows[i][1]) + rng.normal(size=dim) * 0.05).astype(np.float32).tolist(), 1) for i in range(linked)]
+
+
+@pytest.mark.parametrize("rows", [pairs(6, 400, 300), pairs(7, 690, 8) + [(20_000 + i, [1.0] * 24, 1) for i in range(300)]], ids=["recall", "rare"])
+def test_missed_links_are_not_let_through(spark, monkeypatch, rows):
+    """First lists that find nothing: the links come from the audit's way out, or not at all."""
+    first = vectors._first_lists
+    monkeypatch.setattr(vectors, "_first_lists", lambda *a: first(*a).filter("s > 2"))
+    got = vectors.near_vectors(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)

@@ -7,8 +7,11 @@ the end of a list, and only introductions with a fresh entry are made again. Ref
 lists change. A list that is full of links is saturated and is enlarged; what is still saturated at
 the greatest length lies in a dense ball and is compared, as a query set in blocks, with all vectors
 of its label, from which only counts and one link per vector and block are kept. Recall is audited
-against all rows for a sample of vectors; below the target, more tables are added and the lists
-refined again. Links are the edges at or above the threshold, by cosine in double precision.
+label by label against all rows, for a sample of vectors that grows until enough of them have links;
+below the target, more tables are added for those labels and the lists refined again. A label that
+still misses the target, or whose sample would be half of it, is compared in blocks like a dense
+ball: exactly, at a cost quadratic in the label. Links are the edges at or above the threshold, by
+cosine in double precision.
 
 Defined results: a vector that is null, empty, all zero, or holds a null or a non-finite component, or
 whose label is null, links with nothing. Vectors of different lengths aren't compared. Equal rows are
@@ -31,14 +34,18 @@ from .components import components
 
 #: First length of a list, greatest length, vectors that list one and are introduced in one turn.
 NEIGHBOURS, MOST_NEIGHBOURS, LISTED_BY = 10, 40, 12
-#: Hyperplane tables at first, vectors that should share a cell, cell size beyond which it is dealt out.
+#: Hyperplane tables at least, vectors that should share a cell, cell size beyond which it is dealt out.
 TABLES, CELL, MOST_IN_CELL = 6, 40, 80
+#: Chance that a pair at the threshold shares no cell of any table, at most: sets the tables of a label by its size.
+UNMET = 0.01
 #: Refinement ends when fewer than this share of the entries changed, or after so many turns.
 CHANGED, TURNS = 0.002, 6
 #: Turns after lists were enlarged; whatever they leave saturated is compared in blocks.
 ENLARGED_TURNS = 2
-#: Sampled vectors of the audit, share of their links that must be found, repairs at most.
-AUDIT_ROWS, RECALL, REPAIRS = 300, 0.97, 2
+#: Sampled vectors of a label at first, how many of them must have links, growth of a sample with fewer.
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_GROWTH = 300, 100, 8
+#: Share of links that must be found, repairs before the labels that miss it are compared in blocks.
+RECALL, REPAIRS = 0.97, 2
 #: Sides of a block when a query set meets all rows.
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
@@ -224,12 +231,18 @@ def _tables(first: int, tables: int) -> Callable:
     return run
 
 
-def _first_lists(classes: DataFrame, first: int, tables: int, kind: str) -> DataFrame:
-    """Edges among vectors that share a cell of a table. Cells too large are dealt out at random; refinement joins them."""
-    coded = classes.select("x", "label", "dim", "e").mapInArrow(_tables(first, tables), f"x long, label {kind}, dim int, e binary, codes array<long>")
+def _first_lists(classes: DataFrame, turn: int, threshold: float, kind: str) -> DataFrame:
+    """Edges among vectors that share a cell of a table of this turn. Cells too large are dealt out at random; refinement joins them."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     bits = sizes.select("label", "dim", F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL)))).cast("int").alias("bits"))
-    cells = coded.join(bits, ["label", "dim"]).select("x", "e", "label", "dim", "bits", F.posexplode("codes").alias("t", "code"))
+    # a plane doesn't part a pair at the threshold with chance `same`
+    same = 1 - float(np.arccos(np.clip(threshold, -1, 1 - 1e-9))) / np.pi
+    wanted = F.greatest(F.lit(TABLES), F.ceil(F.log(F.lit(UNMET)) / F.log(1 - F.pow(F.lit(same), F.col("bits")))).cast("int"))
+    bits = bits.withColumn("tables", F.when(F.col("bits") == 0, TABLES).otherwise(wanted))
+    most = bits.agg(F.max("tables")).first()[0] or TABLES
+    coded = classes.select("x", "label", "dim", "e").mapInArrow(_tables(turn * 1000, most), f"x long, label {kind}, dim int, e binary, codes array<long>")
+    coded = coded.join(bits, ["label", "dim"]).withColumn("codes", F.slice("codes", 1, F.col("tables")))
+    cells = coded.select("x", "e", "label", "dim", "bits", F.posexplode("codes").alias("t", "code"))
     cells = cells.withColumn("cell", F.xxhash64("label", "dim", "t", F.expr("code & (shiftleft(1L, bits) - 1)"))).drop("label", "code", "bits")
     held = cells.groupBy("cell").agg(F.count("*").alias("n"))
     dealt = cells.join(held, "cell").withColumn("g", F.xxhash64("cell", F.pmod(F.xxhash64("x", "t"), F.ceil(F.col("n") / MOST_IN_CELL))))
@@ -255,6 +268,33 @@ def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int
     return lists
 
 
+def _audit(classes: DataFrame, links: DataFrame, dense: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(label, dim) of labels that miss the target, and of those where half the label wouldn't tell.
+
+    Every class counts once, whatever its rows. The target holds for all sampled links together and for the
+    mean of the sampled vectors that have any, so that neither a large class nor a large group hides pairs.
+    """
+    key = ["label", "dim"]
+    rest, ones = classes.join(dense, "x", "left_anti"), classes.withColumn("m", F.lit(1).cast("long"))
+    have = links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).groupBy("x").agg(F.count("*").alias("h"))
+    left = materialize(rest.groupBy(*key).agg(F.count("*").alias("n")), "unaudited")
+    missed, rows = left.filter("false").select(*key), AUDIT_ROWS
+    whole = missed
+    while True:
+        whole = whole.union(left.filter(F.col("n") < 2 * rows).select(*key))
+        left = left.filter(F.col("n") >= 2 * rows)
+        if left.isEmpty():
+            return missed, whole
+        sample = rest.join(left, key).filter(F.pmod(F.xxhash64("x", F.lit(5)), F.lit(1 << 30)) < F.lit(float(rows)) / F.col("n") * (1 << 30)).select("x")
+        true = _against_all(ones, materialize(sample, "sample"), False, threshold).filter("kind = 0").groupBy(F.col("a").alias("x")).agg(F.sum("b").alias("n")).filter("n > 0")
+        each = classes.select("x", *key).join(true, "x").join(have, "x", "left").withColumn("h", F.least("n", F.coalesce("h", F.lit(0))))
+        seen = each.groupBy(*key).agg(F.count("*").alias("linked"), (F.sum("h") / F.sum("n")).alias("found"), F.avg(F.col("h") / F.col("n")).alias("mean"))
+        enough = materialize(seen.filter(F.col("linked") >= AUDIT_LINKED), "audited")
+        missed = missed.union(enough.filter(F.least("found", "mean") < RECALL).select(*key))
+        left = materialize(left.join(enough, key, "left_anti"), "unaudited")
+        rows *= AUDIT_GROWTH
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row."""
     e = F.col("e")
@@ -270,7 +310,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = materialize(classes.mapInArrow(_packed, fields), "classes")
     n = classes.count()
 
-    lists = materialize(_best(_first_lists(classes, 0, TABLES, kind).withColumn("fresh", F.lit(True)), None), "lists")
+    lists = materialize(_best(_first_lists(classes, 0, threshold, kind).withColumn("fresh", F.lit(True)), None), "lists")
     lists, size = _refine(lists, classes, None, n), None
     for repair in range(REPAIRS + 1):
         k = NEIGHBOURS
@@ -287,17 +327,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         links = materialize(links, "links")
         dense = lists.groupBy("u").agg(F.count("*").alias("c"), F.min("s").alias("s")).filter((F.col("s") >= threshold) & (F.col("c") >= MOST_NEIGHBOURS)).select(F.col("u").alias("x"))
         dense = materialize(dense, "dense")
-        # the audit: links of sampled vectors, all of them against those found
-        sample = classes.select("x").join(dense, "x", "left_anti").orderBy(F.xxhash64("x", F.lit(5)), "x").limit(AUDIT_ROWS)
-        true = _against_all(classes, sample, False, threshold).filter("kind = 0").groupBy(F.col("a").alias("x")).agg(F.sum("b").alias("n"))
-        ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        have = ends.join(classes.select(F.col("x").alias("y"), "m"), "y").groupBy("x").agg(F.sum("m").alias("h"))
-        want, found = true.join(have, "x", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("h", F.lit(0))))).first()
-        if repair == REPAIRS or not want or found >= RECALL * want:
+        missed, whole = _audit(classes, links, dense, threshold)
+        if repair == REPAIRS or missed.isEmpty():
             break
-        extra = _first_lists(classes, TABLES * (repair + 1), TABLES, kind).withColumn("fresh", F.lit(True))
+        again = classes.join(materialize(missed, "missed"), ["label", "dim"], "left_semi")
+        extra = _first_lists(again, repair + 1, threshold, kind).withColumn("fresh", F.lit(True))
         lists = materialize(_best(lists.select("u", "v", "s", "fresh").union(extra), size), "lists")
         lists = _refine(lists, classes, size, n)
+    # labels without the measured recall are compared as a whole
+    exact = classes.join(missed.union(whole), ["label", "dim"], "left_semi").select("x")
+    dense = materialize(dense.union(exact).distinct(), "dense")
 
     pairs, sums = links, None
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
