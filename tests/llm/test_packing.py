@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from vettrail.llm import packing
 from vettrail.llm.bytebpe import default_vocabulary, encoder
@@ -70,3 +71,13 @@ def test_pack_documents(spark, sf):
 
 def test_pack_nothing(spark):
     assert packing.pack_documents(fixtures.frame(spark, []).filter("doc_id = 1")).collect() == []
+
+
+def test_added_tokens_as_the_library_has_them():
+    """Texts that hold an added token, against a Tokenizer as it is read from the file."""
+    plain = Tokenizer.from_file(default_vocabulary())
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one  <|endoftext|>\n\n two<|endoftext|><|endoftext|>", " it's 12<|endoftext|>é", "<|endoftext| >", "<|endoftext|"]
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert (50256 in ids) == ("<|endoftext|>" in text)
+        assert np.frombuffer(encoder(default_vocabulary()).packed(text), "<u4").tolist() == ids
