@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +72,11 @@ def test_overlays_stop_at_six(spark):
 def test_lines_are_greedy():
     rnd = random.Random(2)
     rows = pd.DataFrame({"document_id": "d", "span_idx": range(60), "page": [rnd.randint(1, 2) for _ in range(60)], "mid": [rnd.choice([10.0, 12.0, 12.5, 14.0, 16.5, 19.0]) for _ in range(60)]})
-    got = L._lines(rows.sample(frac=1, random_state=1)).sort_values("span_idx")["line"].tolist()
+    other = rows.assign(document_id="e", mid=rows["mid"] + 1)  # the next document begins anew
+    batches = pa.Table.from_pandas(pd.concat([rows, other]), preserve_index=False).to_batches(max_chunksize=7)
+    lines = pa.Table.from_batches(L._lines(iter(batches)))["line"].to_pylist()
+    got = lines[:60]
+    assert lines[60] == 0 and max(lines[60:]) > 0
     groups, want = [], []
     for page, mid in zip(rows["page"], rows["mid"]):
         y = round(mid)

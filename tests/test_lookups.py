@@ -96,7 +96,7 @@ def test_ed25519_vectors(spark):
 def test_attestations(spark, tmp_path):
     seed, day = b"3" * 32, ("2026-01-01T00:00:00+00:00", "2026-12-31T00:00:00+00:00")
     key = attestations.issuer_key(seed, "Harbour.com")
-    (tmp_path / "harbour.json").write_text(json.dumps({"version": "1", "domain": "Harbour.com", "keys": [{k: key[k] for k in ("kid", "alg", "public_key", "created")}]}))
+    (tmp_path / "harbour.json").write_text(json.dumps({"version": "1", "domain": "Harbour.com", "keys": [{k: key[k] for k in ("kid", "alg", "public_key", "created")}, {"kid": key["kid"], "alg": key["alg"], "public_key": "AAAA"}]}))
     keys, published = readers.read_keys(spark, str(tmp_path))
     assert keys.columns == spark.createDataFrame([], KEYS).columns
     good = attestations.issue(seed, "harbour.com", "Cook", "Ann", *day, recipient="Me@mail.org")

@@ -1,5 +1,8 @@
 """Sender domains: parsing, the family of imitations, throwaway mail, precedence."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,52 @@ def test_empty_token_is_contained_in_everything(judged):
 def test_nulls(judged):
     rows = judged((None, None, None), ("", "", ""))
     assert all(r.domain == "" and r.domain_verdict == "unverifiable" and not r.domain_findings for r in rows)
+
+
+def plain_token(name):
+    """What a company's name comes down to, by Python's own decomposition."""
+    s = unicodedata.normalize("NFKD", name.lower())
+    return re.sub(r"[^a-z0-9]", "", re.sub(rf"\b({D.COMPANY_SUFFIXES})\b", "", s))
+
+
+def plain_skeleton(name):
+    s = "".join(D.LOOKALIKES.get(c, c).lower() for c in unicodedata.normalize("NFKD", name.lower()))
+    for old, new in D.FOLDS:
+        s = s.replace(old, new)
+    return re.sub(r"[^a-z0-9]", "", s)
+
+
+NAMES = [
+    "Nestlé", "Café Société SA", "Có", "Cóabc", "ﬁnance Co", "Ｆｕｌｌ Inc", "Müller GmbH", "Ⅷ corp", "brightlаke", "ёлка", "İstanbul Ltd", "ø co ø", "coø", "øco", "½ co", "ǆabc", "Zoë's Co.",
+    "plain Ltd", "№5 Ltd", "㎏ co", "Ångström", "Straße", "e\u0301clair", "𝐀cme", "①st", "co_ltd", "co-ltd", "", "Ünïted Có SA",
+]
+
+
+def test_names_are_decomposed(spark):
+    df = spark.createDataFrame([(n,) for n in NAMES], "n string")
+    for r in df.select("n", D.company_token(F.col("n")).alias("t"), D.bare(D.skeleton(F.col("n"))).alias("s")).collect():
+        assert (r.n, r.t, r.s) == (r.n, plain_token(r.n), plain_skeleton(r.n))
+
+
+@pytest.mark.parametrize("sender,company,verdict,codes", [
+    ("hr@nestle.com", "Nestlé", "unverifiable", []),
+    ("hr@nestle-jobs.com", "Nestlé", "lookalike", ["DOMAIN_COMBOSQUAT"]),
+    ("hr@nestel.com", "Nestlé", "unrelated", ["DOMAIN_UNRELATED_TO_CLAIM"]),
+    ("hr@cafesociete.fr", "Café Société SA", "unverifiable", []),
+    ("hr@nestlé.com", "Nestle", "unverifiable", []),
+    ("hr@nestl\u0435.com", "Nestlé", "lookalike", ["DOMAIN_CONFUSABLE_IMITATION"]),
+])
+def test_accents(judged, sender, company, verdict, codes):
+    (r,) = judged((sender, company, None))
+    assert (r.domain_verdict, [f.code for f in r.domain_findings]) == (verdict, codes)
+
+
+@pytest.mark.parametrize("label", ["xn--mnchen-3ya", "xn--80ak6aa92e", "xn--fsqu00a", "xn--bcher-kva", "xn--pypal-4ve", "xn--n8jok5ay5dzabd5bym9f0cm5685rrjetr6pdxa", "xn--99zzzzzzz", "xn--9999999999999", "xn--", "xn--a-"])
+def test_punycode_is_shown(judged, label):
+    (r,) = judged((f"hr@{label}.com", None, None))
+    try:
+        want = label.encode("ascii").decode("idna")
+    except UnicodeError:
+        want = label
+    (f,) = [f for f in r.domain_findings if f.code == "DOMAIN_PUNYCODE_IDN"]
+    assert f.meta["decoded"] == want and f.evidence == f"{label} is shown as {want}"

@@ -23,7 +23,7 @@ MESSAGES = [
     message("illegal", text="Pay the registration fee by zelle."), message("moved", sender="hr@other.org", token=TOKEN), message("fake", sender="hr@harb0ur.com"),
     message("mail", sender="jo@gmail.com"), message("listed", role="Cook", posting=True), message("signedlisted", token=TOKEN, posting=True), message("signed", token=TOKEN),
     message("missing", role="Astronomer", posting=True), message("unchecked", company="Never Heard", sender="hr@neverheard.com"), message("clear"), message("empty", text="  ", company=None),
-    message("document", document="d1"), message("long", text="x" * 20_001), message("agency", sender="hr@agency.net"),
+    message("document", document="d1"), message("long", text="x" * 20_001), message("nobody", sender=None), message("agency", sender="hr@agency.net"),
 ]
 
 
@@ -47,8 +47,8 @@ def verified(spark, lookups):
 
 def test_headlines(verified):
     states = {r.msg_id: r.state for r in verified.collect()}
-    assert "long" not in states
-    assert {k: states[k] for k in states if k != "document"} == {
+    assert states["long"] == "refused"
+    assert {k: states[k] for k in states if k not in ("document", "long", "nobody")} == {
         "illegal": "illegal", "moved": "mismatch", "fake": "critical", "mail": "high", "listed": "listed", "signedlisted": "listed_signed", "signed": "signed", "missing": "medium",
         "unchecked": "unchecked", "clear": "clear", "empty": "clear", "agency": "medium",
     }
@@ -65,15 +65,37 @@ def test_findings_are_in_order(verified):
 
 def test_progress(verified):
     rows = verify.long_progress(verified).collect()
-    assert len(rows) == 6 * (len(MESSAGES) - 1)
+    assert len(rows) == 6 * len(MESSAGES)
     at = {(r.msg_id, r.stage): (r.status, r.positive) for r in rows}
     assert at["empty", "practices"] == at["empty", "employer"] == ("skipped", False) and at["empty", "domain"][0] == "done"
     assert at["unchecked", "employer"] == ("error", False) and at["clear", "employer"] == ("done", True)
     assert at["signed", "attestation"] == ("done", True) and at["moved", "attestation"] == ("done", False)
     assert at["listed", "posting"] == ("done", True) and at["missing", "posting"] == ("done", False) and at["clear", "posting"][0] == "skipped"
     assert at["document", "document"] == ("done", False)
+    assert {r.status for r in rows if r.msg_id in ("long", "nobody")} == {"skipped"}
     steps = verify.trace_steps(verified).collect()
-    assert len(steps) == sum(r.status != "skipped" for r in rows)
+    assert len(steps) == sum(r.status != "skipped" for r in rows) + 2 * (len(MESSAGES) - 2)
+    assert [(r.step_type, r.tool_name, r.status) for r in sorted(steps, key=lambda r: r.position) if r.msg_id == "unchecked"] == [
+        ("reasoning", None, "success"), ("tool_call", "practices.scan", "success"), ("tool_call", "employer.search", "error"), ("tool_call", "domain.compare", "success"), ("final_answer", None, "success"),
+    ]
+
+
+def test_refused(verified):
+    out = {r.msg_id: r for r in verified.collect()}
+    assert out["long"].headline == "message is longer than 20000 characters" and out["nobody"].headline == "sender is missing"
+    assert all(not out[k].findings and out[k].domain_verdict is None and out[k].sender is None and out[k].max_severity == "info" for k in ("long", "nobody"))
+
+
+def test_events(verified):
+    rows = sorted(verify.events(verified).collect(), key=lambda r: (r.msg_id, r.position))
+    of = lambda k: [(r.event, json.loads(r.json)) for r in rows if r.msg_id == k]
+    kinds = [k for k, _ in of("signed")]
+    assert kinds == ["start", *["progress"] * 6, "result"]
+    assert [x["stage"] for x in of("signed")[0][1]["stages"]] == [*verify.STAGES]
+    assert [x["stage"] for k, x in of("signed") if k == "progress"] == [*verify.STAGES]
+    assert all(x["event"] == k for k, x in of("signed"))
+    assert of("signed")[-1][1]["result"]["state"] == "signed"
+    assert of("long") == [("error", {"event": "error", "detail": "message is longer than 20000 characters"})]
 
 
 def test_json_holds_all_findings(verified):

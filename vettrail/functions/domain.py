@@ -1,16 +1,18 @@
 """Sender domains against the company that they claim: imitation, borrowed names, throwaway mail.
 
-Every function maps Columns to Columns; folding to NFKD is a table for the names in use (ASCII and the
-listed look-alikes), with text.compatible() for others.
+Every function maps Columns to Columns, without Python workers. Names are decomposed to NFKD (text.decomposed)
+as far as letters, digits and the listed look-alikes are concerned, before words and signs are taken out.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import FINDING, finding
-from .text import from_idna
+from .text import decomposed, from_punycode
 
 # Mail providers, suffixes, corporate and hiring words, look-alikes, folds.
 FREE_MAIL = (
@@ -39,6 +41,10 @@ LOOKALIKES = {
 }
 FOLDS = (("0", "o"), ("1", "l"), ("rn", "m"), ("vv", "w"), ("5", "s"), ("3", "e"))
 
+#: What names are compared by. A combining mark is no part of a word.
+_LETTERS = string.ascii_letters + string.digits + "".join(LOOKALIKES)
+_WORD = r"[\p{L}\p{N}_]"
+
 
 def domain_of(address: Column) -> Column:
     """The bare lower-case host of a mail address or URL."""
@@ -76,13 +82,13 @@ def bare(s: Column) -> Column:
 
 
 def company_token(name: Column) -> Column:
-    """A company's name without corporate words, letters and digits only. Accents must be decomposed beforehand where they occur."""
-    return bare(F.regexp_replace(F.lower(name), f"(?U)\\b({COMPANY_SUFFIXES})\\b", ""))
+    """A company's name without corporate words, letters and digits only; accents come off their letters."""
+    return bare(F.regexp_replace(decomposed(name, _LETTERS), f"(?<!{_WORD})({COMPANY_SUFFIXES})(?!{_WORD})", ""))
 
 
 def skeleton(name: Column) -> Column:
     """Look-alikes folded to what they imitate."""
-    out = F.lower(F.translate(F.lower(name), "".join(LOOKALIKES), "".join(LOOKALIKES.values())))
+    out = F.lower(F.translate(decomposed(name, _LETTERS), "".join(LOOKALIKES), "".join(LOOKALIKES.values())))
     for old, new in FOLDS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -91,18 +97,15 @@ def skeleton(name: Column) -> Column:
 def punycode(domain: Column) -> Column:
     """Labels that are shown in other scripts than they are written."""
     labels = F.filter(F.split(domain, "[.]"), lambda x: x.startswith("xn--"))
-    return F.when(F.size(labels) > 0, finding(
+    shown = F.transform(labels, lambda x: F.coalesce(from_punycode(x), x))
+    return F.when(F.contains(domain, F.lit("xn--")) & (F.size(labels) > 0), finding(
         "DOMAIN_PUNYCODE_IDN", "The address is shown in characters other than it is written", "critical",
         "Part of this domain is Punycode, so mail clients display non-Latin characters where a reader expects plain letters.",
-        evidence=F.array_join(labels, ", "), remediation="Type the company's address yourself instead of following links.", meta={"labels": F.array_join(labels, ",")},
+        evidence=F.array_join(F.zip_with(labels, shown, lambda a, b: F.concat(a, F.lit(" is shown as "), b)), ", "),
+        remediation="Type the company's address yourself instead of following links.", meta={"labels": F.array_join(labels, ","), "decoded": F.array_join(shown, ",")},
     ))
 
 
-def shown_labels(domain: Column) -> Column:
-    """The first Punycode label as it is shown, null without one. An Arrow function: only for rows with that finding."""
-    return from_idna(F.filter(F.split(domain, "[.]"), lambda x: x.startswith("xn--"))[0])
-
-
 def left_of_owner(domain: Column, name: Column, tld: Column) -> Column:
     """What stands left of the registrable part."""
     return F.rtrim(F.substring(domain, F.lit(1), F.greatest(F.length(domain) - F.length(name) - F.length(tld) - 1, F.lit(0))), F.lit("."))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import finding, present
 from .domain import LOOKALIKES
-from .text import around, line_of, offset
+from .text import around, let, line_of, offset
 
 # Invisible characters and their names, direction controls, the tag block.
 ZERO_WIDTH = {
@@ -53,50 +53,71 @@ def decode_tags(text: Column) -> Column:
 
 
 def tag_block(text: Column) -> Column:
-    n, payload, at = _count(text, TAGS), decode_tags(text), offset(text, TAGS, "(?s)")
-    shown = F.trim(F.regexp_replace(payload, r"[^\x20-\x7E]", ""))
-    return F.when(n > 0, finding(
-        "UNICODE_TAG_SMUGGLING", "Invisible text in tag characters", "critical", F.concat(n.cast("string"), F.lit(" tag characters, which no program displays.")), layer="hidden",
-        evidence=F.when(shown != "", F.concat(F.lit("carries: "), shown)).otherwise(F.concat(n.cast("string"), F.lit(" tag characters, nothing printable"))),
-        location=F.concat(F.lit("line "), line_of(text, at).cast("string"), F.lit(", char offset "), at.cast("string")),
-        remediation="Keep the file as evidence; such characters have no honest use here.", meta={"count": n, "decoded_payload": payload},
-    ))
+    def made(m: Column) -> Column:
+        n, payload, at = m["n"], m["payload"], m["at"]
+        shown = F.trim(F.regexp_replace(payload, r"[^\x20-\x7E]", ""))
+        return finding(
+            "UNICODE_TAG_SMUGGLING", "Invisible text in tag characters", "critical", F.concat(n.cast("string"), F.lit(" tag characters, which no program displays.")), layer="hidden",
+            evidence=F.when(shown != "", F.concat(F.lit("carries: "), shown)).otherwise(F.concat(n.cast("string"), F.lit(" tag characters, nothing printable"))),
+            location=F.concat(F.lit("line "), line_of(text, at).cast("string"), F.lit(", char offset "), at.cast("string")),
+            remediation="Keep the file as evidence; such characters have no honest use here.", meta={"count": n, "decoded_payload": payload},
+        )
+
+    measured = F.struct(_count(text, TAGS).alias("n"), decode_tags(text).alias("payload"), offset(text, TAGS, "(?s)").alias("at"))
+    return F.when(text.rlike(TAGS), let(measured, made))
 
 
 def zero_width(text: Column) -> Column:
-    counts = [(c, _count(text, f"\\x{{{ord(c):X}}}")) for c in ZERO_WIDTH]
-    total = sum((n for _, n in counts), F.lit(0))
-    ordinary = sum((n for c, n in counts if c in ORDINARY_RESIDUE), F.lit(0))
-    # the most frequent one; of equals the one seen first
-    worst = F.array_max(F.array(*[F.when(n > 0, F.struct(n.alias("n"), (-F.instr(text, c)).alias("p"))) for c, n in counts]))
-    at = -worst["p"] - 1
-    names = F.array_join(F.filter(F.array(*[F.when(n > 0, F.concat(F.lit(f"{ZERO_WIDTH[c]}×"), n.cast("string"))) for c, n in sorted(counts)]), lambda x: x.isNotNull()), ", ")
-    rank = F.when((total <= 3) & (ordinary == total), 0).when(total >= 20, 3).otherwise(1)
-    return F.when(total > 0, finding(
-        "ZERO_WIDTH_CHARS", "Zero-width characters", rank, F.concat(total.cast("string"), F.lit(" invisible formatting characters: "), names), layer="hidden",
-        evidence=around(text, at, F.lit(0), 60), location=F.concat(F.lit("first at line "), line_of(text, at).cast("string")),
-        remediation=F.when(rank <= 1, "Usually left over from copying.").otherwise("Extract and read the sequence first."), meta={"total": total, "breakdown": names},
-    ))
+    signs = list(ZERO_WIDTH)
+    one = {c: f"\\x{{{ord(c):X}}}" for c in signs}
+
+    def made(counts: Column) -> Column:
+        n = {c: counts[i] for i, c in enumerate(signs)}
+        # the most frequent one; of equals the one seen first
+        worst = F.array_max(F.array(*[F.when(n[c] > 0, F.struct(n[c].alias("n"), (-F.instr(text, c)).alias("p"))) for c in signs]))
+        names = F.array_join(F.filter(F.array(*[F.when(n[c] > 0, F.concat(F.lit(f"{ZERO_WIDTH[c]}×"), n[c].cast("string"))) for c in sorted(signs)]), lambda x: x.isNotNull()), ", ")
+        ordinary = sum((n[c] for c in signs if c in ORDINARY_RESIDUE), F.lit(0))
+        total = sum(n.values(), F.lit(0))
+        return let(F.struct((-worst["p"] - 1).alias("at"), names.alias("names"), total.alias("total"), ordinary.alias("ordinary")), found)
+
+    def found(m: Column) -> Column:
+        total, at = m["total"], m["at"]
+        rank = F.when((total <= 3) & (m["ordinary"] == total), 0).when(total >= 20, 3).otherwise(1)
+        return finding(
+            "ZERO_WIDTH_CHARS", "Zero-width characters", rank, F.concat(total.cast("string"), F.lit(" invisible formatting characters: "), m["names"]), layer="hidden",
+            evidence=around(text, at, F.lit(0), 60), location=F.concat(F.lit("first at line "), line_of(text, at).cast("string")),
+            remediation=F.when(rank <= 1, "Usually left over from copying.").otherwise("Extract and read the sequence first."), meta={"total": total, "breakdown": m["names"]},
+        )
+
+    return F.when(text.rlike("[" + "".join(one.values()) + "]"), let(F.array(*[_count(text, one[c]) for c in signs]), made))
 
 
 def bidi(text: Column) -> Column:
-    n, over, at = _count(text, f"[{BIDI}]"), _count(text, f"[{OVERRIDES}]"), offset(text, f"[{BIDI}]", "(?s)")
-    rank = F.when(over > 0, 3).when(text.rlike(_right_to_left()), 0).otherwise(2)
-    return F.when(n > 0, finding(
-        "BIDI_CONTROL_CHARS", "Characters that change the direction of text", rank, F.concat(n.cast("string"), F.lit(" direction controls: what is read may differ from what is stored.")), layer="hidden",
-        evidence=around(text, at, F.lit(0), 60), location=F.concat(F.lit("first at line "), line_of(text, at).cast("string")), confidence=0.95,
-        remediation="Compare the stored order with the displayed one.", meta={"count": n, "overrides": over},
-    ))
+    def made(m: Column) -> Column:
+        n, over, at = m["n"], m["over"], m["at"]
+        rank = F.when(over > 0, 3).when(text.rlike(_right_to_left()), 0).otherwise(2)
+        return let(rank, lambda r: finding(
+            "BIDI_CONTROL_CHARS", "Characters that change the direction of text", r, F.concat(n.cast("string"), F.lit(" direction controls: what is read may differ from what is stored.")), layer="hidden",
+            evidence=around(text, at, F.lit(0), 60), location=F.concat(F.lit("first at line "), line_of(text, at).cast("string")), confidence=0.95,
+            remediation="Compare the stored order with the displayed one.", meta={"count": n, "overrides": over},
+        ))
+
+    measured = F.struct(_count(text, f"[{BIDI}]").alias("n"), _count(text, f"[{OVERRIDES}]").alias("over"), offset(text, f"[{BIDI}]", "(?s)").alias("at"))
+    return F.when(text.rlike(f"[{BIDI}]"), let(measured, made))
 
 
 def homoglyphs(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
-    odd = F.filter(words, lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{''.join(LOOKALIKES)}]"))
-    n = F.size(odd)
-    return F.when(text.rlike(f"[{''.join(LOOKALIKES)}]") & (n > 0), finding(
-        "HOMOGLYPH_SUBSTITUTION", "Look-alike characters inside Latin words", F.when(n > 2, 3).otherwise(2), F.concat(n.cast("string"), F.lit(" word(s) mix Latin letters with look-alikes.")),
-        evidence=F.array_join(F.slice(odd, 1, 4), ", "), confidence=0.9, remediation="Type the words anew before comparing them.", meta={"count": n, "words": F.array_join(F.slice(odd, 1, 20), " ")},
-    ))
+    look = f"[{''.join(LOOKALIKES)}]"
+
+    def made(odd: Column) -> Column:
+        n = F.size(odd)
+        return F.when(n > 0, finding(
+            "HOMOGLYPH_SUBSTITUTION", "Look-alike characters inside Latin words", F.when(n > 2, 3).otherwise(2), F.concat(n.cast("string"), F.lit(" word(s) mix Latin letters with look-alikes.")),
+            evidence=F.array_join(F.slice(odd, 1, 4), ", "), confidence=0.9, remediation="Type the words anew before comparing them.", meta={"count": n, "words": F.array_join(F.slice(odd, 1, 20), " ")},
+        ))
+
+    return F.when(text.rlike(look), let(F.filter(words, lambda w: w.rlike("[A-Za-z]") & w.rlike(look)), made))
 
 
 def run_all(text: Column) -> Column:

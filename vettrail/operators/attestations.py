@@ -87,7 +87,7 @@ def signed(body: str, signature: str, public: str) -> Column:
 def check_attestations(df: DataFrame, keys: DataFrame, published: DataFrame, now: Column, sender: str = "sender", prefix: str = RECIPIENT_PREFIX) -> DataFrame:
     """Adds attestation_state, attested_role, issuer and attestation_findings.
 
-    keys: (domain, kid, alg, public_key); published: domains whose key document was read. A domain that
+    keys: (domain, kid, alg, public_key), one for each domain, kid and algorithm; published: domains whose key document was read. A domain that
     isn't there is unavailable, which is not the same as publishing no such key. The state is the first
     of: none, unreadable, unavailable, unknown_key, bad_signature, unreadable_expiry, expired,
     wrong_recipient, valid. The signature function runs on rows with a published key only.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,25 +79,31 @@ def body_style(spans: DataFrame) -> DataFrame:
     return first.select("document_id", F.col("font").alias("body_font"), F.col("size1").alias("body_size"))
 
 
-def _lines(spans: pd.DataFrame) -> pd.DataFrame:
-    """Greedy lines of one document: a span joins the first line of its page whose first span is within reach."""
-    spans = spans.sort_values("span_idx", kind="stable")
-    started: list[tuple[int, float]] = []
-    out = []
-    for page, mid in zip(spans["page"], spans["mid"]):
-        y = float(round(mid))
-        at = next((i for i, (p, first) in enumerate(started) if p == page and abs(first - y) <= LINE_REACH), None)
-        if at is None:
-            at = len(started)
-            started.append((page, y))
-        out.append(at)
-    return spans.assign(line=out)[["document_id", "span_idx", "line"]]
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greedy lines of a partition sorted by document and span: a span joins the first line of its page whose first span is within reach.
+
+    What is held is the current document's line starts, page by page.
+    """
+    document, started, count = None, {}, 0
+    for batch in batches:
+        out = []
+        for own, page, mid in zip(batch["document_id"].to_pylist(), batch["page"].to_pylist(), batch["mid"].to_pylist()):
+            if own != document:
+                document, started, count = own, {}, 0
+            y = float(round(mid))
+            at = next((line for first, line in started.setdefault(page, []) if abs(first - y) <= LINE_REACH), None)
+            if at is None:
+                at, count = count, count + 1
+                started[page].append((y, at))
+            out.append(at)
+        yield batch.append_column("line", pa.array(out, pa.int32()))
 
 
 def lines(spans: DataFrame) -> DataFrame:
-    """(document_id, span_idx, line) of visible spans. Order decides who starts a line, which no window expresses; a document is one group."""
-    seen = classify(spans).filter("not hidden").select("document_id", "span_idx", "page", ((F.col("bbox.y0") + F.col("bbox.y1")) / 2).alias("mid"))
-    return seen.groupBy("document_id").applyInPandas(_lines, "document_id string, span_idx int, line int")
+    """Visible spans with their line. Order decides who starts a line, which no window expresses; a partition is read as a stream."""
+    seen = classify(spans).filter("not hidden").select("document_id", "span_idx", "page", "text", "font", "size", ((F.col("bbox.y0") + F.col("bbox.y1")) / 2).alias("mid"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.schema)
+    return seen.repartition("document_id").sortWithinPartitions("document_id", "span_idx").mapInArrow(_lines, kinds + ", line int")
 
 
 def family(font: Column) -> Column:
@@ -110,7 +118,7 @@ def what_field(text: Column) -> Column:
 def font_findings(spans: DataFrame) -> DataFrame:
     """(document_id, i, f): spans off the body style on lines that are otherwise in it."""
     c = F.col
-    seen = classify(spans).filter("not hidden").join(lines(spans), ["document_id", "span_idx"]).join(body_style(spans), "document_id")
+    seen = lines(spans).join(body_style(spans), "document_id")
     seen = seen.withColumn("size1", F.bround("size", 1)).withColumn("on", (c("font") == c("body_font")) & (c("size1") == c("body_size")))
     whole = W.partitionBy("document_id", "line")
     seen = seen.withColumns({"members": F.count("*").over(whole), "fits": F.sum(c("on").cast("int")).over(whole), "t": F.trim("text")})

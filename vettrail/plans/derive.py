@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import table
+
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?:#]+)', 1)"
 _O = "instr(label, 'o')"
 _SWAP = "CASE WHEN {at} = 0 THEN label ELSE concat(substr(label, 1, {at} - 1), '{to}', substr(label, {at} + 1)) END"
 
-#: One row per page and variant: the claimed company, a sender shaped by page_id % 10, the verified domain in every second variant.
+#: One row per page and variant: the claimed company, a sender shaped by page_id % 16, the verified domain in every second variant.
 OUTREACH = f"""
-SELECT page_id * 2 + k AS msg_id, label, replace(label, '-', ' ') AS claimed_company,
+SELECT page_id * 2 + k AS msg_id, label, CASE WHEN page_id % 16 IN (10, 11) THEN replace(replace(label, '-', ' '), 'e', 'é') WHEN page_id % 16 = 15 THEN concat('Ünïted ', label, ' Có SA')
+  ELSE replace(label, '-', ' ') END AS claimed_company,
   CASE WHEN k = 1 THEN concat(label, '.com') END AS known_domain,
-  concat('hr@', CASE page_id % 10
+  concat('hr@', CASE page_id % 16
     WHEN 0 THEN concat(label, '.com')
     WHEN 1 THEN concat('jobs.', label, '.com')
     WHEN 2 THEN concat({_SWAP.format(at=_O, to='0')}, '.com')
@@ -27,6 +30,12 @@ SELECT page_id * 2 + k AS msg_id, label, replace(label, '-', ' ') AS claimed_com
     WHEN 6 THEN concat(label, '.com.apply-portal.xyz')
     WHEN 7 THEN 'gmail.com'
     WHEN 8 THEN 'mailinator.com'
+    WHEN 10 THEN concat(label, '.com')
+    WHEN 11 THEN concat(label, '-jobs.com')
+    WHEN 12 THEN concat(replace(label, 'e', 'é'), '.com')
+    WHEN 13 THEN 'xn--mnchen-3ya.de'
+    WHEN 14 THEN concat('xn--bcher-kva.', label, '.com')
+    WHEN 15 THEN concat('ünited', label, '.com')
     ELSE 'northern-agency.co.uk' END) AS sender
 FROM (SELECT page_id, regexp_extract({_HOST}, '([^.]+)[.][^.]+[.][^.]+$', 1) AS label FROM {{pages}}) h
 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) v
@@ -122,7 +131,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derived input over the tables of a folder."""
     names = [n for n in ("pages", "documents", "conversations", "events") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def for_oracle(sql: str) -> str:

@@ -14,6 +14,7 @@ from ..operators import attestations, documents, employers, limits, postings
 from ..operators.senders import analyse_senders
 from ..operators.texts import scan_texts
 from ..sources import readers
+from ..sources.tables import table
 from . import derive, report, verify
 
 c = F.col
@@ -21,13 +22,9 @@ c = F.col
 NOW = "2026-06-01 00:00:00"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1, D2 on every page's address."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", D.domain_of(c("url")).alias("domain"))
+    pages = table(spark, sf_dir, "pages").select("page_id", D.domain_of(c("url")).alias("domain"))
     return pages.select("page_id", "domain", D.name_of(c("domain")).alias("name"), D.suffix_of(c("domain")).alias("tld"))
 
 
@@ -165,7 +162,7 @@ def _tokens(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 def attestation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token state, by sender and recipient."""
     tokens, keys, published = _tokens(spark)
-    pages = _table(spark, sf_dir, "pages").select("page_id", (c("page_id") % 8).cast("int").alias("n"))
+    pages = table(spark, sf_dir, "pages").select("page_id", (c("page_id") % 8).cast("int").alias("n"))
     sender = F.when(c("page_id") % 3 == 0, "hr@alpha-works.com").when(c("page_id") % 3 == 1, "hr@mail.alpha-works.com").otherwise("hr@elsewhere.org")
     recipient = F.when(c("page_id") % 5 == 0, "other@mail.org").otherwise(" Me@Mail.org")
     rows = pages.join(F.broadcast(tokens), "n").select("page_id", "attestation", sender.alias("sender"), recipient.alias("recipient_email"))
@@ -181,7 +178,8 @@ def _verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.element_at(F.array(*map(F.lit, derive.ROLES)), (F.floor(c("msg_id") / 2) % len(derive.ROLES) + 1).cast("int"))
     m = base.withColumn("n", (c("msg_id") % 64).cast("int")).join(F.broadcast(tokens), "n", "left")
     m = m.select(
-        c("msg_id").cast("string").alias("msg_id"), "sender", "claimed_company", F.when(c("msg_id") % 9 != 0, text).alias("message"), role.alias("role"), "attestation",
+        c("msg_id").cast("string").alias("msg_id"), F.when(c("msg_id") % 101 != 0, c("sender")).alias("sender"), "claimed_company",
+        F.when(c("msg_id") % 97 == 0, F.repeat(F.lit("x"), 20_001)).when(c("msg_id") % 9 != 0, text).alias("message"), role.alias("role"), "attestation",
         F.lit("me@mail.org").alias("recipient_email"), F.lit(None).cast("boolean").alias("offer_received"), (c("msg_id") % 2 == 0).alias("check_posting"),
         F.when(c("msg_id") % 4 == 0, F.floor(c("msg_id") / 2).cast("string")).alias("document_id"),
     )
@@ -200,10 +198,17 @@ def verification_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six progress rows per message."""
+    """Six progress rows per message."""
     return verify.long_progress(_verifications(spark, sf_dir))
 
 
+def client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, progress, result and error events of every message."""
+    out = verify.events(_verifications(spark, sf_dir))
+    status = F.get_json_object("json", "$.status")
+    return out.select("msg_id", "position", "event", F.coalesce(F.get_json_object("json", "$.stage"), F.lit("")).alias("stage"), F.coalesce(status, F.get_json_object("json", "$.detail"), F.get_json_object("json", "$.result.state"), F.lit("")).alias("says"))
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps that ran."""
     return verify.trace_steps(_verifications(spark, sf_dir))
@@ -216,21 +221,21 @@ def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two calls per user in a day that begins with the first of them."""
-    calls = _table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("client"), "ts", c("event_id").alias("seq"))
+    calls = table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("client"), "ts", c("event_id").alias("seq"))
     out = limits.fixed_windows(calls, 2, 86_400.0)
     return out.select(c("seq").alias("event_id"), "client", "count", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
 
 def client_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z3: the first forwarded address, else the peer's."""
-    events = _table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     forwarded = F.when(c("event_id") % 3 == 0, F.concat(F.lit(" 10.0.0."), (c("user_id") % 250).cast("string"), F.lit(" , 172.16.0.1"))).when(c("event_id") % 3 == 1, "")
     return events.select("event_id", limits.client_key(forwarded, F.concat(F.lit("peer-"), c("user_id").cast("string"))).alias("client"))
 
 
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of every raw page."""
-    out = readers.harvest(_table(spark, sf_dir, "pages")).select("url", F.explode("links").alias("link"))
+    out = readers.harvest(table(spark, sf_dir, "pages")).select("url", F.explode("links").alias("link"))
     return out.groupBy("url").agg(F.count("*").alias("n_links"), F.min("link.href").alias("first_href"), F.max("link.href").alias("last_href"))
 
 
@@ -255,5 +260,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e_candidate_domains": candidate_domains, "e_employers": employer_evidence, "p_postings": posting_evidence, "l_span_reasons": span_reasons, "l_layers": span_layers,
         "l_body_styles": body_styles, "l_fonts": font_findings, "l_overlays": overlays, "l_provenance": provenance, "l_field_kinds": field_kinds, "l_documents": document_verdicts,
         "t_attestations": attestation_states, "t_digests": recipient_hashes, "o_verifications": verifications, "o_findings": verification_findings, "o_progress": progress_events,
-        "o_trace": trace, "o_reports": written_reports, "z_rate_limits": rate_limits, "z_client_keys": client_keys, "s_anchors": page_anchors,
+        "o_events": client_events, "o_trace": trace, "o_reports": written_reports, "z_rate_limits": rate_limits, "z_client_keys": client_keys, "s_anchors": page_anchors,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,16 @@ from ..operators.employers import verify_employers
 from ..operators.postings import careers_pages, judge_postings
 from ..operators.senders import analyse_senders, has
 
-#: The checks in the order in which they report.
-STAGES = ("practices", "employer", "domain", "attestation", "posting", "document")
-#: Bounds of what a message may hold, in characters (fixed values); longer input is refused.
+#: The checks in the order in which they report: label, the tool's name in traces, what it does.
+STAGES = {
+    "practices": ("What the message asks for", "practices.scan", "Scan the message"),
+    "employer": ("Whether the company can be found", "employer.search", "Look the company up"),
+    "domain": ("Who sent the message", "domain.compare", "Compare the sender's domain"),
+    "attestation": ("Signed attestation", "attestation.verify", "Verify the attestation"),
+    "posting": ("Whether the role is listed", "posting.match", "Look for the role"),
+    "document": ("The attached document", "document.scan", "Scan the document"),
+}
+#: Bounds of what a message may hold, in characters (fixed values); longer input, or one without a sender, is refused.
 BOUNDS = {"sender": 320, "claimed_company": 200, "message": 20000, "role": 200, "attestation": 4000, "recipient_email": 320}
 
 
@@ -34,13 +42,11 @@ class Lookups:
     metadata: DataFrame
 
 
-def within_bounds(df: DataFrame) -> Column:
-    """Whether every bounded field of the message is short enough."""
-    ok = F.lit(True)
-    for name, most in BOUNDS.items():
-        if name in df.columns:
-            ok = ok & (F.length(F.coalesce(F.col(name), F.lit(""))) <= most)
-    return ok
+def refusal(df: DataFrame) -> Column:
+    """Why a message is refused; null for one that is verified."""
+    given = [name for name in BOUNDS if name in df.columns]
+    too_long = [F.when(F.length(F.col(n)) > BOUNDS[n], F.lit(f"{n} is longer than {BOUNDS[n]} characters")) for n in given]
+    return F.coalesce(F.when(F.col("sender").isNull(), F.lit("sender is missing")), *too_long)
 
 
 def _count(findings: Column, keep) -> Column:
@@ -73,10 +79,12 @@ def verify_outreach(outreach: DataFrame, lookups: Lookups, now: Column) -> DataF
 
     Messages meet their lookups by equi joins on company, issuer, domain and role, and document; the
     domain check uses the domain that the employer check found, the posting check that and the role of a
-    valid attestation where the message names none.
+    valid attestation where the message names none. A refused message is a row of state `refused` whose
+    headline says why; nothing in it is read, and all its stages are skipped.
     """
     c = F.col
-    m = outreach.filter(within_bounds(outreach))
+    m = outreach.withColumn("refused", refusal(outreach))
+    m = m.withColumns({n: F.when(c("refused").isNull(), c(n)) for n in (*BOUNDS, "document_id") if n in outreach.columns})
     m = m.withColumn("practice_findings", F.when(F.trim(F.coalesce("message", F.lit(""))) != "", requests.scan(c("message"), c("offer_received"))).otherwise(none()))
     employers = verify_employers(m.filter(has(c("claimed_company"))).select(c("claimed_company").alias("company")), lookups.searched, lookups.results)
     employers = employers.select(c("company").alias("claimed_company"), c("likely_domain").alias("known_domain"), c("confidence").alias("employer_confidence"), c("checked").alias("employer_checked"), "employer_findings")
@@ -94,28 +102,35 @@ def verify_outreach(outreach: DataFrame, lookups: Lookups, now: Column) -> DataF
     empty = lambda name: F.coalesce(c(name), none()).cast(FINDINGS)
     parts = ("attestation_findings", "domain_findings", "practice_findings", "employer_findings", "document_findings", "posting_findings")
     m = m.withColumn("findings", by_severity(F.concat(*map(empty, parts))))
-    m = m.withColumns({"max_rank": max_rank(c("findings")), "summary": summary(c("findings")), "tiers": requests.tier_counts(c("practice_findings"))})
+    outcome = F.when(c("refused").isNull(), summary(c("findings"))).otherwise(F.struct(F.lit("refused").alias("state"), c("refused").alias("headline"), F.lit("Send it again within the bounds.").alias("advice")))
+    m = m.withColumns({"max_rank": max_rank(c("findings")), "summary": outcome, "tiers": requests.tier_counts(F.coalesce(c("practice_findings"), none()))})
+    m = m.withColumns({n: F.when(c("refused").isNull(), c(n)) for n in ("domain", "domain_verdict", "attestation_state")})
     return m.withColumn("max_severity", severity(c("max_rank"))).select(
-        "msg_id", "domain", "domain_verdict", "known_domain", "employer_confidence", "attestation_state", "posting_found", "document_verdict", "tiers",
+        "msg_id", "sender", "claimed_company", "domain", "domain_verdict", "known_domain", "employer_confidence", "attestation_state", "posting_found", "document_verdict", "tiers",
         "max_severity", "max_rank", "summary.state", "summary.headline", "summary.advice", "findings", progress(m).alias("progress"),
     )
 
 
 def progress(m: DataFrame) -> Column:
-    """Array of the six stages: done, skipped, or error where a lookup didn't run; positive only where something was confirmed."""
+    """Array of the six stages: done, skipped, or error where a lookup didn't run or a signature doesn't hold; positive only where something was confirmed."""
     c = F.col
     rank = lambda name: severity(max_rank(F.coalesce(c(name), none()).cast(FINDINGS)))
     yes = lambda x: F.coalesce(x, F.lit(False))
-    stage = lambda name, status, level, positive: F.struct(F.lit(name).alias("stage"), status.alias("status"), level.alias("severity"), yes(positive).alias("positive"))
-    ran = lambda when, ok: F.when(~yes(when), "skipped").when(yes(ok), "done").otherwise("error")
     always = F.lit(True)
+
+    def stage(name: str, findings: str, wanted: Column, ok: Column, positive: Column, says: Column, unasked: str) -> Column:
+        status = F.when(~yes(wanted) | c("refused").isNotNull(), "skipped").when(yes(ok), "done").otherwise("error")
+        said = F.when(status == "skipped", F.lit(unasked)).otherwise(F.coalesce(says, F.lit("")))
+        return F.struct(F.lit(name).alias("stage"), status.alias("status"), rank(findings).alias("severity"), yes(positive).alias("positive"), said.alias("summary"))
+
+    number = F.size(F.coalesce(c("practice_findings"), none()))
     return F.array(
-        stage("practices", ran(F.trim(F.coalesce("message", F.lit(""))) != "", always), rank("practice_findings"), F.lit(False)),
-        stage("employer", ran(has(c("claimed_company")), c("employer_checked")), rank("employer_findings"), c("known_domain").isNotNull()),
-        stage("domain", F.lit("done"), rank("domain_findings"), c("domain_verdict") == "matches_claim"),
-        stage("attestation", ran(has(c("attestation")), always), rank("attestation_findings"), (c("attestation_state") == "valid") & (max_rank(c("attestation_findings")) == 0)),
-        stage("posting", ran(c("posting_wanted"), c("posting_checked")), rank("posting_findings"), c("posting_found")),
-        stage("document", ran(has(c("document_id")), always), rank("document_findings"), c("document_verdict") == "clean"),
+        stage("practices", "practice_findings", F.trim(F.coalesce("message", F.lit(""))) != "", always, F.lit(False), F.concat(number.cast("string"), F.lit(" finding(s)")), "no message"),
+        stage("employer", "employer_findings", has(c("claimed_company")), c("employer_checked"), c("known_domain").isNotNull(), F.coalesce(F.concat(F.lit("own domain: "), c("known_domain")), F.lit("no own site found")), "no company named"),
+        stage("domain", "domain_findings", always, always, c("domain_verdict") == "matches_claim", F.replace("domain_verdict", F.lit("_"), F.lit(" ")), "refused"),
+        stage("attestation", "attestation_findings", has(c("attestation")), c("attestation_state") == "valid", (c("attestation_state") == "valid") & (max_rank(c("attestation_findings")) == 0), F.replace("attestation_state", F.lit("_"), F.lit(" ")), "no attestation"),
+        stage("posting", "posting_findings", c("posting_wanted"), c("posting_checked"), c("posting_found"), F.when(yes(c("posting_found")), "listed").otherwise("not listed"), "not asked for"),
+        stage("document", "document_findings", has(c("document_id")), always, c("document_verdict") == "clean", c("document_verdict"), "no document"),
     )
 
 
@@ -130,10 +145,37 @@ def long_progress(verifications: DataFrame) -> DataFrame:
     return verifications.select("msg_id", F.posexplode("progress").alias("position", "p")).select("msg_id", "position", "p.*")
 
 
+def _by_stage(which: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in STAGES.items() for x in (k, v[which])]), F.col("p.stage"))
+
+
 def trace_steps(verifications: DataFrame) -> DataFrame:
-    """The steps of each verification that ran, under a run id that follows from the message."""
-    steps = long_progress(verifications).filter("status <> 'skipped'")
-    return steps.select(F.substring(F.sha2("msg_id", 256), 1, 16).alias("run_id"), "msg_id", "position", F.col("stage").alias("step"), F.when(F.col("status") == "done", "success").otherwise("error").alias("status"))
+    """The steps of every verification that ran, under a run id that follows from the message: what came in, a tool call for
+    each stage that wasn't skipped, the conclusion. A batch has no time of its own for a step, so none is claimed."""
+    ran = verifications.filter("state <> 'refused'")
+    run = F.substring(F.sha2("msg_id", 256), 1, 16).alias("run_id")
+    row = lambda position, kind, label, tool, said, status: (run, "msg_id", F.lit(position).alias("position") if isinstance(position, int) else position.alias("position"), F.lit(kind).alias("step_type"), label.alias("label"), tool.alias("tool_name"), F.substring(said, 1, 1000).alias("summary"), status.alias("status"))
+    nothing, fine = F.lit(None).cast("string"), F.lit("success")
+    came = F.concat(F.lit("sender "), "sender", F.lit(", company "), F.coalesce("claimed_company", F.lit("not named")))
+    first = ran.select(*row(0, "reasoning", F.lit("Read the message"), nothing, came, fine))
+    calls = ran.select("msg_id", F.posexplode("progress").alias("n", "p")).filter("p.status <> 'skipped'")
+    calls = calls.select(*row(F.col("n") + 1, "tool_call", _by_stage(2), _by_stage(1), F.col("p.summary"), F.when(F.col("p.status") == "done", "success").otherwise("error")))
+    last = ran.select(*row(len(STAGES) + 1, "final_answer", F.lit("Conclude"), nothing, F.concat("max_severity", F.lit(": "), "headline"), fine))
+    return first.union(calls).union(last)
+
+
+def events(verifications: DataFrame) -> DataFrame:
+    """(msg_id, position, event, json): what a client is sent, in order: start with the stages, one event for each stage, the result; a refused message gets one error."""
+    start = json.dumps({"event": "start", "stages": [{"stage": k, "label": v[0]} for k, v in STAGES.items()]})
+    made = lambda event, body: F.struct(F.lit(event).alias("event"), body.alias("json"))
+    say = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    labels = F.create_map(*[F.lit(x) for k, v in STAGES.items() for x in (k, v[0])])
+    told = F.transform("progress", lambda p: made("progress", say(event=F.lit("progress"), stage=p["stage"], label=F.element_at(labels, p["stage"]), status=p["status"], summary=p["summary"], severity=p["severity"], positive=p["positive"])))
+    rest = [x for x in verifications.columns if x != "progress"]
+    result = made("result", say(event=F.lit("result"), result=F.struct(*rest)))
+    error = made("error", say(event=F.lit("error"), detail=F.col("headline")))
+    all_ = F.when(F.col("state") == "refused", F.array(error)).otherwise(F.concat(F.array(made("start", F.lit(start))), told, F.array(result)))
+    return verifications.select("msg_id", F.posexplode(all_).alias("position", "e")).select("msg_id", "position", "e.event", "e.json")
 
 
 def as_json(verifications: DataFrame) -> DataFrame:

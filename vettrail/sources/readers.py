@@ -40,9 +40,10 @@ def search_key(query: Column, max_results: int = 6) -> Column:
 
 
 def read_keys(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(keys, published) of well-known key documents, one JSON file per domain."""
+    """(keys, published) of well-known key documents, one JSON file per domain; of a document's entries that share kid and algorithm the first counts."""
     docs = spark.read.schema(_KEYS).option("multiLine", True).json(path).filter("domain is not null")
-    keys = docs.select(F.lower("domain").alias("domain"), F.explode("keys").alias("k")).select("domain", "k.kid", "k.alg", "k.public_key", "k.created")
+    first = lambda k, i: ~F.exists(F.slice("keys", F.lit(1), i), lambda x: x["kid"].eqNullSafe(k["kid"]) & x["alg"].eqNullSafe(k["alg"]))
+    keys = docs.select(F.lower("domain").alias("domain"), F.explode(F.filter("keys", first)).alias("k")).select("domain", "k.kid", "k.alg", "k.public_key", "k.created")
     return keys, docs.select(F.lower("domain").alias("domain")).distinct()
 
 
