@@ -41,6 +41,34 @@ def issuer_key(seed: bytes, domain: str) -> dict[str, str]:
     return {"domain": domain, "kid": hashlib.sha256(public).hexdigest()[:16], "alg": ALGORITHM, "public_key": _b64(public), "created": "2026-01-01"}
 
 
+#: What stands before the 32 bytes of such a private key in its standard binary form (fixed value, RFC 8410).
+_KEY_HEAD = bytes.fromhex("302e020100300506032b657004220420")
+
+
+def private_pem(seed: bytes) -> str:
+    """A private key as PEM text, on the driver."""
+    return f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(_KEY_HEAD + seed).decode()}\n-----END PRIVATE KEY-----\n"
+
+
+def seed_of(pem: str) -> bytes:
+    """The private key in a PEM text; ValueError for anything but an Ed25519 key without a password."""
+    lines = [x.strip() for x in pem.strip().splitlines()]
+    if len(lines) < 3 or lines[0] != "-----BEGIN PRIVATE KEY-----" or lines[-1] != "-----END PRIVATE KEY-----":
+        raise ValueError("not a private key in PEM")
+    raw = base64.b64decode("".join(lines[1:-1]), validate=True)
+    if len(raw) != len(_KEY_HEAD) + 32 or not raw.startswith(_KEY_HEAD):
+        raise ValueError("not an Ed25519 private key")
+    return raw[len(_KEY_HEAD) :]
+
+
+def key_document(seed: bytes, domain: str, contact: str | None = None) -> dict:
+    """What a domain publishes about its key, on the driver."""
+    domain = domain.strip().lower()
+    key = issuer_key(seed, domain)
+    out = {"version": 1, "domain": domain, "keys": [{k: key[k] for k in ("kid", "alg", "public_key", "created")}], "note": f"Public keys that sign messages of {domain}."}
+    return out | ({"report_abuse": contact} if contact else {})
+
+
 def hash_recipient(email: Column, prefix: str = RECIPIENT_PREFIX) -> Column:
     """32 hex digits of the SHA-256 of prefix and normalised address."""
     return F.substring(F.sha2(F.concat(F.lit(prefix), F.lower(F.trim(email))), 256), 1, 32)
