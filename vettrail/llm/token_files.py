@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -88,12 +88,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def file_number(name: Column) -> Column:
+    """The order of a file among all: its partition's number, then its place among the partition's files, as numbers (names of six digits come after those of five)."""
+    part = lambda pattern: F.regexp_extract(name, pattern, 1)
+    return part(r"part-(\d+)").cast("long") * 1_000_000 + F.coalesce(F.nullif(part(r"-c(\d+)[.]"), F.lit("")).cast("long"), F.lit(0))
+
+
 def read_token_table(spark: SparkSession, path: str) -> DataFrame:
     """Each document's place, length and checksum, read from the files once."""
     rows = spark.read.schema("doc_id long, tie long, ids array<int>").orc(path)
-    rows = rows.withColumn("file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1))
-    rows = materialize(rows.mapInArrow(_digest, "doc_id long, tie long, file string, n_tokens long, ids_crc32 long"), "places")
-    # a file holds one range partition, so neither window holds more than that or a row per file
+    rows = rows.withColumn("file", file_number(F.input_file_name()))
+    rows = materialize(rows.mapInArrow(_digest, "doc_id long, tie long, file long, n_tokens long, ids_crc32 long"), "places")
+    # a file holds one range partition, so neither window holds more than that or a row per file (16 bytes each)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -103,6 +109,11 @@ def read_token_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def find_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents: the file's statistics, row index and Bloom filter tell which stripes and rows are read."""
+    return spark.read.schema("doc_id long, ids array<int>").orc(path).filter(F.col("doc_id").isin(*ids))
+
+
 def token_table(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write the files below the shared folder and read the table back."""
     path = scratch_path(docs.sparkSession, "ids")
