@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 # --------------------------------------------------------------------------- scratch tables
 
 
@@ -54,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(spark, sf_dir, name)
 
 
 # --------------------------------------------------------------------------- batches of texts
@@ -209,5 +211,31 @@ def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def has_word(text: str) -> bool:
+    return bool(text.strip(" \t\n\v\f\r"))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def text_hash(name: str = "text"):
+    """With the id, what names a row's document."""
+    return F.xxhash64(text_or_empty(name))
+
+
+#: What identified() names a document by.
+DOC = ["nid", "id", "th"]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").isNull().alias("nid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_hash().alias("th"), text_or_empty().alias("text"))
+
+
+#: A table of up to so many 64-bit keys (8 MB of them) is sent to all executors.
+BROADCAST_KEYS = 1_000_000
+
+
+def keyed(keys: DataFrame) -> DataFrame:
+    """A table of keys, marked for broadcast when its counted rows stay below the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, FOLDED_VALUES_2, chunks, materialize, prefix_sums, range_hash, words
+from .common import FOLDED_VALUES, FOLDED_VALUES_2, chunks, discard, has_word, identified, materialize, prefix_sums, range_hash, text_hash, words
 
 MIN_CHARS = 10
+#: Bitmaps of up to so many bytes in all are sent to every executor; beyond that the texts are shuffled to meet them.
+BROADCAST_BYTES = 32 << 20
 _LINES = "h1 long, h2 long, nid boolean, id long, th long, pos int"
 _SWEPT = "kind int, h1 long, h2 long, nid boolean, id long, th long, pos int"
 
@@ -108,14 +110,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["nid"], batch["id"], batch["th"], pa.array(out, pa.binary())], ["nid", "id", "th", "keep"])
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").isNull().alias("nid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
     """(nid, id, th, keep): a bitmap for each document that loses lines; id and text hash name it."""
-    lines = materialize(_identified(docs).mapInArrow(_lines, _LINES), "lines")
+    lines = materialize(identified(docs).mapInArrow(_lines, _LINES), "lines")
     order = ["h1", "h2", "nid", "id", "pos"]
     swept = materialize(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
     # first document of every key at a partition's edge: two rows per partition at most after the aggregation
@@ -124,7 +121,16 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     leading = leading.filter((F.col("nid") != F.col("first.nid")) | (F.col("id") != F.col("first.id"))).select("nid", "id", "th", "pos")
     gone = swept.filter(F.col("kind") == DROPPED).select("nid", "id", "th", "pos").union(leading)
     # bounded by the lines of one document; equal rows of a document name the same positions
-    return gone.groupBy("nid", "id", "th").agg(F.collect_set("pos").alias("gone")).mapInArrow(_pack, "nid boolean, id long, th long, keep binary")
+    packed = gone.groupBy("nid", "id", "th").agg(F.collect_set("pos").alias("gone")).mapInArrow(_pack, "nid boolean, id long, th long, keep binary")
+    packed = materialize(packed, "bitmaps")
+    discard(lines, swept)
+    return packed
+
+
+def _sized(bitmaps: DataFrame, keep: str = "keep") -> DataFrame:
+    """Marked for broadcast when their measured size (with 40 bytes of row each) stays below the bound."""
+    size = bitmaps.agg(F.sum(F.octet_length(keep) + 40)).first()[0] or 0
+    return F.broadcast(bitmaps) if size <= BROADCAST_BYTES else bitmaps
 
 
 def drop_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
@@ -150,25 +156,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the checksum of what stays, one row per input row."""
-    bitmaps = keep_bitmaps(docs)
-    joined = _identified(docs).join(bitmaps, ["nid", "id", "th"], "left")
+    joined = identified(docs).join(_sized(keep_bitmaps(docs)), ["nid", "id", "th"], "left")
     return joined.select("nid", "id", "text", "keep").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def apply_bitmaps(docs: DataFrame) -> DataFrame:
-    """The input's rows and columns, each text without its dropped lines."""
+def apply_bitmaps(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """The input's rows and columns, each text without its dropped lines; with drop_emptied, rows that lose their last word so go."""
     bitmaps = keep_bitmaps(docs).select(*[F.col(c).alias(f"_bitmap_{c}") for c in ("nid", "id", "th", "keep")])
     on = (
         (F.col("doc_id").isNull() == F.col("_bitmap_nid")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_bitmap_id"))
-        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_bitmap_th"))
+        & (text_hash() == F.col("_bitmap_th"))
     )
-    joined = docs.join(bitmaps, on, "left").select(*docs.columns, "_bitmap_keep")
+    joined = docs.join(_sized(bitmaps, "_bitmap_keep"), on, "left").select(*docs.columns, "_bitmap_keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() if k.as_py() is None else drop_lines(t.as_py(), k.as_py())[0] for t, k in zip(batch["text"], batch["_bitmap_keep"])]
             at = batch.schema.get_field_index("text")
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_bitmap_keep"]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_bitmap_keep"])
+            out = pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_bitmap_keep"])
+            yield out.filter(pa.array([not k.is_valid or has_word(t) for t, k in zip(texts, batch["_bitmap_keep"])], pa.bool_())) if drop_emptied else out
 
     return joined.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, chunks, discard, materialize, mix, prefix_sums, range_hash, words
+from .common import FOLDED_VALUES, chunks, discard, identified, materialize, mix, prefix_sums, range_hash, words
 from .components import components
 
 #: Words of a shingle.
@@ -116,11 +116,6 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SIGNED.split(", ")])
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").isNull().alias("nid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
 def estimate(left: list[Column], right: list[Column]) -> Column:
     """Similarity from packed signatures: agreeing slots, less the 1 in 2**BITS that agree by chance."""
     odd = F.lit(0x5555555555555555)
@@ -261,7 +256,7 @@ def _across(members: DataFrame, label: DataFrame, texts: DataFrame, classes: Dat
 
 def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
     """(nid, id, th, n, first) of every row; first is the smallest (nid, id) of its group."""
-    texts = _identified(docs)
+    texts = identified(docs)
     signed = materialize(texts.mapInArrow(functools.partial(_sign, shingle=shingle), _SIGNED), "signed")
     words_ = [f"s{i}" for i in range(4)]
     classes = signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("nid", "id", "th")).alias("rep"), *(F.first(c).alias(c) for c in (*words_, "bands")))

@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytebpe import default_vocabulary, encoder
+from .bytebpe import CACHE_ENTRIES, default_vocabulary, encoder
 from .common import materialize
 
 CAPACITY, END_ID = 2048, 0
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(vocabulary: str, capacity: int):
+def _pieces(vocabulary: str, capacity: int, cache_entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
+        enc, end = encoder(vocabulary, cache_entries), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
@@ -106,11 +106,11 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
     return runs
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece with its sequence and offset."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """One row per piece with its sequence and offset. cache_entries bounds what a Python worker remembers of the vocabulary's pre-tokens."""
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    pieces = materialize(source.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity), _PIECES), "pieces")
+    pieces = materialize(source.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity, cache_entries), _PIECES), "pieces")
     order = [F.desc("length"), "doc_id", "piece", "ids_crc32", "start"]
     ranged = materialize(pieces.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
     # a row per length in each range partition, CAPACITY lengths at most; a length that fills many partitions gets its ranks partition by partition

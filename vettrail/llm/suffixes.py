@@ -15,7 +15,9 @@ suffix in 137 bytes is kept, and no repeated window can be missed.
    boundaries by the keys of its windows, so that no anchor, however frequent, has to fit into one task.
 3. Repeated windows of a document merge into spans.
 
-Strings are compared by 64-bit hash under an equal 64-bit anchor hash, 128 bits in all.
+Strings are compared by 64-bit hash under an equal 64-bit anchor hash, 128 bits in all. 400 bytes are more
+than many passages of over 50 words have: the query says of those, by passages.py, how many words of a
+document stand in passages of 50 words or more that other documents hold too.
 
 Defined results: a null text is empty. Every input row is a document of its own; equal rows are
 copies of each other. Texts shorter than 400 bytes lose nothing. An empty table gives no rows.
@@ -33,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Texts, chunks, discard, materialize, mix, powers, prefix_sums, range_hash, repeated
+from . import passages
+from .common import BYTE_VALUES, DOC, chunks, discard, identified, keyed, materialize, mix, prefix_sums, repeated, text_hash
+from .windows import anchor_runs, stretches, window_hashes
 
 #: Bytes of a repeated string, of the gram that anchors it.
 LENGTH, GRAM = 400, 128
-#: Low bits of a sort key that hold the position; the rest is the gram's hash.
-POSITION_BITS = 31
 #: Bytes of text in one pass of the kernel.
 PASS_BYTES = 1 << 20
 #: Rows of text that are compared at once, whole anchors at least.
@@ -48,8 +50,8 @@ HOT_KINDS = 20_000
 #: A table of up to so many rows of at most 40 bytes is sent to all executors instead of shuffling the texts.
 BROADCAST_ROWS = 400_000
 
-_DOC = ["nid", "id", "th"]
 _RUNS = "nid boolean, id long, th long, ah long, sh long, lo int, n int, rel int"
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long"
 _FOUND = "edge boolean, nid boolean, id long, th long, lo int, n int, ah long, wh long"
 
 
@@ -57,53 +59,15 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _grams(sums: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of `size` bytes; equals range_hash() of the same bytes."""
-    _, down = powers(len(sums))
-    n = len(sums) - size
-    with np.errstate(over="ignore"):
-        return mix((sums[size:] - sums[:-size]) * down[:n] + np.uint64(size) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _anchor_runs(t: Texts) -> tuple[np.ndarray, ...] | None:
-    """For each run of windows with one anchor: text, first window, windows, anchor, anchor's hash, run's hash."""
-    long = np.flatnonzero(t.end - t.start >= LENGTH)
-    if not len(long):
-        return None
-    sums = prefix_sums(BYTE_VALUES[t.data])
-    grams = _grams(sums, GRAM)
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    least = grams & ~low | np.arange(len(grams), dtype=np.uint64)
-    width, have = LENGTH - GRAM + 1, 1
-    while 2 * have <= width:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < width:
-        rest = width - have
-        least = np.minimum(least[:-rest], least[rest:])
-    inside = np.zeros(len(least) + 1, np.int8)
-    inside[t.start[long]] += 1
-    inside[t.end[long] - LENGTH + 1] -= 1
-    at = np.flatnonzero(np.cumsum(inside[:-1]))
-    anchor = (least[at] & low).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    lo, anchor = at[first], anchor[first]
-    n = np.diff(np.concatenate((first, [len(at)])))
-    with np.errstate(over="ignore"):
-        whole = mix(range_hash(sums, lo, lo + n + LENGTH - 1) ^ (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    text = np.searchsorted(t.start, lo, "right") - 1
-    return text, lo - t.start[text], n, anchor - lo, grams[anchor].view(np.int64), whole.view(np.int64)
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in chunks(batch["text"], PASS_BYTES):
-            if (found := _anchor_runs(t)) is None:
+            if (found := anchor_runs(BYTE_VALUES[t.data], t.start, t.end, LENGTH, GRAM)) is None:
                 continue
             text, lo, n, rel, ah, sh = found
             rows = pa.array(text + t.rows.start)
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c].take(rows) for c in _DOC), pa.array(ah), pa.array(sh), *(pa.array(x, pa.int32()) for x in (lo, n, rel))], _names(_RUNS)
+                [*(batch[c].take(rows) for c in DOC), pa.array(ah), pa.array(sh), *(pa.array(x, pa.int32()) for x in (lo, n, rel))], _names(_RUNS)
             )
 
 
@@ -115,22 +79,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = batch["runs"][i].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["ah"] for r in runs], pa.int64()), pa.array([r["sh"] for r in runs], pa.int64()), pa.array([r["hot"] for r in runs], pa.bool_()),
-                 *(pa.array([batch[c][i].as_py()] * len(runs), k) for c, k in zip(_DOC, (pa.bool_(), pa.int64(), pa.int64()))),
+                 *(pa.array([batch[c][i].as_py()] * len(runs), k) for c, k in zip(DOC, (pa.bool_(), pa.int64(), pa.int64()))),
                  pa.array([r["lo"] for r in runs], pa.int32()),
                  pa.array([bytes(text[r["lo"] : r["lo"] + r["n"] + LENGTH - 1]) for r in runs], pa.binary())],
-                ["ah", "sh", "hot", *_DOC, "lo", "seg"],
+                ["ah", "sh", "hot", *DOC, "lo", "seg"],
             )
 
 
-def _stretches(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and size of each stretch of set flags that has one owner."""
-    on = np.flatnonzero(flags)
-    if not len(on):
-        return on, on
-    cut = np.flatnonzero(np.concatenate(([True], (on[1:] != on[:-1] + 1) | (owner[on[1:]] != owner[on[:-1]]))))
-    return on[cut], np.diff(np.concatenate((cut, [len(on)])))
-
-
 def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator[pa.RecordBatch]:
     """Repeated windows of one sorted bucket; where anchors are split, also the keys of all windows of its first and last anchor, for the boundaries."""
 
@@ -140,7 +95,7 @@ def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator
         seg = part["seg"].combine_chunks() if part["seg"].num_chunks != 1 else part["seg"].chunk(0)
         keys, owner, window = [], [], []
         for t in chunks(seg, PASS_BYTES):
-            hashes = _grams(prefix_sums(BYTE_VALUES[t.data]), LENGTH)
+            hashes = window_hashes(prefix_sums(BYTE_VALUES[t.data]), LENGTH)
             n = t.end - t.start - LENGTH + 1
             own = np.repeat(np.arange(t.rows.start, t.rows.stop, dtype=np.int32), n)
             at = np.arange(len(own), dtype=np.int32) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int32), n)
@@ -148,9 +103,9 @@ def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator
         keys, owner, window = map(np.concatenate, (keys, owner, window))
         twice = repeated(mix(keys ^ mix(ah.view(np.uint64))[owner]))
         lo = part["lo"].to_numpy()
-        doc = [part[c].combine_chunks() for c in _DOC]
+        doc = [part[c].combine_chunks() for c in DOC]
         doc = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in doc]
-        first, n = _stretches(twice, owner)
+        first, n = stretches(twice, owner)
         rows = pa.array(owner[first])
         zero = pa.array(np.zeros(len(first), np.int64))
         yield pa.RecordBatch.from_arrays(
@@ -187,16 +142,6 @@ def _compare(batches: Iterator[pa.RecordBatch], split: bool = False) -> Iterator
         yield from group(whole, {begun, whole["ah"][-1].as_py()})
 
 
-def _identified(docs: DataFrame, *rest: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").isNull().alias("nid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *rest)
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast when its counted rows stay below the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's repeated windows as the maximal runs of bytes that they cover: start, end, start, end, ..."""
     for batch in batches:
@@ -209,70 +154,76 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
             last = np.concatenate((cut[1:], [len(start)])) - 1
             spans.append(np.stack((start[cut], end[last]), 1).ravel())
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in _DOC), pa.array(spans, pa.list_(pa.int32()))], [*_DOC, "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in DOC), pa.array(spans, pa.list_(pa.int32()))], [*DOC, "spans"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(nid, id, th, spans): the repeated byte spans of every document that has some."""
-    texts = _identified(docs)
+    texts = identified(docs)
     runs = materialize(texts.mapInArrow(_runs, _RUNS), "runs")
     shared = runs.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
     shared = materialize(shared, "anchors")
-    runs_shared = materialize(runs.join(_small(shared), "ah"), "shared")
+    runs_shared = materialize(runs.join(keyed(shared), "ah"), "shared")
     discard(runs)
-    kinds = runs_shared.groupBy("ah", "sh").agg(F.count("*").alias("m"), F.min(F.struct(*_DOC, "lo", "n")).alias("r"))
+    kinds = runs_shared.groupBy("ah", "sh").agg(F.count("*").alias("m"), F.min(F.struct(*DOC, "lo", "n")).alias("r"))
     kinds = materialize(kinds.select("ah", "sh", "m", "r.*"), "kinds")
     # whole runs that occur again
     again = kinds.filter("m > 1").select("ah", "sh")
-    whole = runs_shared.join(again, ["ah", "sh"]).select(*_DOC, "lo", "n")
+    whole = runs_shared.join(again, ["ah", "sh"]).select(*DOC, "lo", "n")
     # anchors with several kinds of run: one of each kind sends its text
     several = kinds.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah", (F.col("c") > HOT_KINDS).alias("hot"))
-    wanted = kinds.join(several, "ah").groupBy(*_DOC).agg(F.collect_list(F.struct("ah", "sh", "hot", "lo", "n")).alias("runs"))
+    several = materialize(several, "several")
+    wanted = kinds.join(keyed(several), "ah").groupBy(*DOC).agg(F.collect_list(F.struct("ah", "sh", "hot", "lo", "n")).alias("runs"))
     wanted = materialize(wanted, "wanted")
     rows = wanted.agg(F.sum(F.size("runs"))).first()[0] or 0
-    segments = texts.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, _DOC)
-    segments = segments.select(*_DOC, "text", "runs").mapInArrow(_segments, "ah long, sh long, hot boolean, nid boolean, id long, th long, lo int, seg binary")
+    if rows <= BROADCAST_ROWS:
+        met = texts.join(F.broadcast(wanted), DOC)
+    else:  # of the texts, only those that have something to send meet their runs
+        met = texts.join(keyed(wanted.select("th").distinct()), "th", "left_semi").join(wanted, DOC)
+    segments = met.select(*DOC, "text", "runs").mapInArrow(_segments, "ah long, sh long, hot boolean, nid boolean, id long, th long, lo int, seg binary")
     # repeated rows send the same text twice: one of each
-    segments = materialize(segments, "segments").dropDuplicates(["ah", "sh"])
+    parts = materialize(segments, "segments")
+    segments = parts.dropDuplicates(["ah", "sh"])
     found = segments.filter("not hot").repartitionByRange("ah").sortWithinPartitions("ah").mapInArrow(_compare, _FOUND)
-    found = materialize(found, "found").select(*_DOC, "lo", "n")
+    found = materialize(found, "found").select(*DOC, "lo", "n")
     hot = segments.filter("hot")
     if not hot.isEmpty():
         hot = hot.repartitionByRange("ah", "sh").sortWithinPartitions("ah", "sh").mapInArrow(functools.partial(_compare, split=True), _FOUND)
         hot = materialize(hot, "hot")
         edges = hot.filter("edge").groupBy("ah", "wh").agg(F.count("*").alias("c")).filter("c > 1").select("ah", "wh")
-        across = hot.filter("edge").join(edges, ["ah", "wh"]).select(*_DOC, "lo", "n")
-        found = found.union(hot.filter("not edge").select(*_DOC, "lo", "n")).union(across)
+        across = hot.filter("edge").join(edges, ["ah", "wh"]).select(*DOC, "lo", "n")
+        found = found.union(hot.filter("not edge").select(*DOC, "lo", "n")).union(across)
     windows = whole.union(found)
     # bounded by the windows of one document
-    spans = windows.groupBy(*_DOC).agg(F.collect_set(F.struct("lo", "n")).alias("found")).mapInArrow(_merge, "nid boolean, id long, th long, spans array<int>")
-    return materialize(spans, "spans")
-
-
-def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return texts.join(F.broadcast(spans) if total <= 4 * BROADCAST_ROWS else spans, _DOC, "left")
+    spans = windows.groupBy(*DOC).agg(F.collect_set(F.struct("lo", "n")).alias("found")).mapInArrow(_merge, "nid boolean, id long, th long, spans array<int>")
+    spans = materialize(spans, "spans")
+    discard(shared, runs_shared, kinds, several, wanted, parts)
+    return spans
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for nid, key, text, spans in zip(batch["nid"], batch["id"], batch["text"], batch["spans"]):
-            data, spans = text.as_py().encode(), spans.as_py() or []
+        for nid, key, text, spans, shared in zip(*(batch[c] for c in ("nid", "id", "text", "spans", "shared"))):
+            data, spans, shared = text.as_py().encode(), spans.as_py() or [], shared.as_py() or []
             sha, at, gone = hashlib.sha256(), 0, 0
             for a, b in zip(spans[::2], spans[1::2]):
                 sha.update(data[at:a])
                 at, gone = b, gone + b - a
             sha.update(data[at:])
-            out.append((None if nid.as_py() else key.as_py(), len(data), gone, len(spans) // 2, sha.hexdigest()))
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out.append((None if nid.as_py() else key.as_py(), len(data), gone, len(spans) // 2, sha.hexdigest(), sum(shared[1::2]) - sum(shared[::2])))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], _names(_DIGEST))
 
 
 def passage_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the checksum of what stays, one row per input row."""
-    joined = _with_spans(_identified(docs), repeated_spans(docs)).select("nid", "id", "text", "spans")
-    return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans and the checksum of what stays, and the words in passages shared with other documents; one row per input row."""
+    shared = passages.shared_spans(docs)
+    spans = repeated_spans(docs)
+    found = spans.join(shared.drop("later"), DOC, "full")
+    total = sum(x or 0 for x in found.agg(F.sum(F.size("spans")), F.sum(F.size("shared"))).first())
+    joined = identified(docs).join(F.broadcast(found) if total <= 4 * BROADCAST_ROWS else found, DOC, "left")
+    return joined.select("nid", "id", "text", "spans", "shared").mapInArrow(_digest, _DIGEST)
 
 
 def cut(text: str, spans: list[int] | None) -> str:
@@ -292,11 +243,11 @@ def cut(text: str, spans: list[int] | None) -> str:
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """The input's rows and columns, each text without its repeated passages."""
-    spans = repeated_spans(docs).select(*[F.col(c).alias(f"_cut_{c}") for c in (*_DOC, "spans")])
+    spans = repeated_spans(docs).select(*[F.col(c).alias(f"_cut_{c}") for c in (*DOC, "spans")])
     total = spans.agg(F.sum(F.size("_cut_spans"))).first()[0] or 0
     on = (
         (F.col("doc_id").isNull() == F.col("_cut_nid")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_cut_id"))
-        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_cut_th"))
+        & (text_hash() == F.col("_cut_th"))
     )
     joined = docs.join(F.broadcast(spans) if total <= 4 * BROADCAST_ROWS else spans, on, "left").select(*docs.columns, "_cut_spans")
 
