@@ -1,8 +1,11 @@
 """The corpus pipeline: documents through the stages in STAGES, each written as Parquet before the next reads it.
 
-Quality rules drop rejected documents, line dedup and suffix dedup shorten texts, MinHash keeps one
-document of each group, best-fit packing places what is left. Every stage works on all rows that the
-one before it kept. All but the last return the columns of documents, with n_chars brought up to date.
+Quality rules drop rejected documents. Line dedup takes lines out that an earlier document holds. MinHash
+keeps one document of each group of near copies among what is left. Passage dedup takes passages of 50
+words or more out that an earlier document holds; the first document keeps them. Best-fit packing places
+the rest. A document whose last word line dedup or passage dedup takes goes with it: earlier documents
+hold all of it. Every stage works on all rows that the one before it kept. All but the last return the
+columns of documents, with n_chars brought up to date. An empty table gives no rows.
 A part of the training-data subpackage: it goes where that goes.
 """
 
@@ -11,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettrail.llm import linededup, minhash, packing, quality, suffixes
-from vettrail.llm.common import materialize, table
+from vettrail.llm import linededup, minhash, packing, passages, quality
+from vettrail.llm.common import discard, materialize, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(linededup.apply_bitmaps(docs))
+    return _counted(linededup.apply_bitmaps(docs, drop_emptied=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +39,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(suffixes.cut_texts(docs))
+    return _counted(passages.cut_passages(docs, drop_emptied=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    # workers live on through all stages: a small cache leaves their memory to the others
+    return packing.pack_documents(docs, cache_entries=60_000)
 
 
 STAGES = [
@@ -58,5 +62,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
