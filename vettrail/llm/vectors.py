@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 #: First length of a list, greatest length, vectors that list one and are introduced in one turn.
@@ -262,7 +262,8 @@ def _refine(lists: DataFrame, classes: DataFrame, size: DataFrame | None, n: int
         met = sides.join(nodes, "x").select("g", "x", "e", "dim", "worst", "fresh")
         offered = met.repartition("g").sortWithinPartitions("g", "x").mapInArrow(_introduce, _EDGES)
         old = lists.select("u", "v", "s", F.lit(False).alias("fresh"))
-        lists = materialize(_best(old.union(offered.withColumn("fresh", F.lit(True))), size), "lists")
+        before, lists = lists, materialize(_best(old.union(offered.withColumn("fresh", F.lit(True))), size), "lists")
+        discard(before)
         if lists.filter("fresh").count() <= CHANGED * n * NEIGHBOURS:
             break
     return lists
@@ -321,8 +322,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             if full.isEmpty():
                 break
             size = full if size is None else materialize(size.union(full).groupBy("u").agg(F.max("k").alias("k")), "sizes")
-            lists = lists.join(full.select("u", F.lit(True).alias("again")), "u", "left").select("u", "v", "s", (F.col("fresh") | F.coalesce("again", F.lit(False))).alias("fresh"), F.when(F.col("again"), -2.0).otherwise(F.col("worst")).alias("worst"))
-            lists = _refine(materialize(lists, "lists"), classes, size, n, ENLARGED_TURNS)
+            held, lists = lists, lists.join(full.select("u", F.lit(True).alias("again")), "u", "left").select("u", "v", "s", (F.col("fresh") | F.coalesce("again", F.lit(False))).alias("fresh"), F.when(F.col("again"), -2.0).otherwise(F.col("worst")).alias("worst"))
+            before, lists = held, materialize(lists, "lists")
+            discard(before)
+            lists = _refine(lists, classes, size, n, ENLARGED_TURNS)
         links = lists.filter(F.col("s") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         links = materialize(links, "links")
         dense = lists.groupBy("u").agg(F.count("*").alias("c"), F.min("s").alias("s")).filter((F.col("s") >= threshold) & (F.col("c") >= MOST_NEIGHBOURS)).select(F.col("u").alias("x"))
@@ -332,7 +335,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             break
         again = classes.join(materialize(missed, "missed"), ["label", "dim"], "left_semi")
         extra = _first_lists(again, repair + 1, threshold, kind).withColumn("fresh", F.lit(True))
-        lists = materialize(_best(lists.select("u", "v", "s", "fresh").union(extra), size), "lists")
+        before, lists = lists, materialize(_best(lists.select("u", "v", "s", "fresh").union(extra), size), "lists")
+        discard(before, links, dense)
         lists = _refine(lists, classes, size, n)
     # labels without the measured recall are compared as a whole
     exact = classes.join(missed.union(whole), ["label", "dim"], "left_semi").select("x")
