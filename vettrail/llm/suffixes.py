@@ -42,7 +42,7 @@ from .windows import anchor_runs, stretches, window_hashes
 #: Bytes of a repeated string, of the gram that anchors it.
 LENGTH, GRAM = 400, 128
 #: Bytes of text in one pass of the kernel.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 #: Rows of text that are compared at once, whole anchors at least.
 COMPARED_ROWS = 3_000
 #: Kinds of run that one anchor may have in one partition: 10 MB of text.
