@@ -64,3 +64,10 @@ def test_body_style_weighs_whole_lines(spark, tmp_path):
     lines[bold] = FILLER.strip()
     spark.createDataFrame([(90, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(spark, str(tmp_path), "l_body_styles") == [("90", "Helvetica-Bold", 11.0)]
+
+
+def test_name_with_an_accent_decides_a_document(spark, tmp_path):
+    """The off-style span is a name by ASCII bounds of words, which alone makes the document's verdict."""
+    text = "An ordinary line about gardens and rivers\nTre Ciónd"
+    spark.createDataFrame([(45, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(spark, str(tmp_path), "l_documents") == [("45", "manipulated", 2)]
