@@ -71,3 +71,11 @@ def test_name_with_an_accent_decides_a_document(spark, tmp_path):
     text = "An ordinary line about gardens and rivers\nTre Ciónd"
     spark.createDataFrame([(45, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(spark, str(tmp_path), "l_documents") == [("45", "manipulated", 2)]
+
+
+def test_field_kinds_by_bounds_of_ascii(spark, tmp_path):
+    """Names beside letters with accents count, lines of wide spaces alone don't, as in SQL."""
+    lines = ["Tre Ciónd", "\u00a0", "\u3000 \u2003", "so", "no", "éTre Ciel", "Tré Ciel", "", "\t"]
+    texts = [(50, "\n".join(lines)), (51, "Mary\x0bStone"), (52, "mar\u017f 4")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(rows(spark, str(tmp_path), "l_field_kinds")) == [(50, "date", 2), (50, "money", 1), (50, "name", 3), (51, "none", 1), (52, "date", 1)]

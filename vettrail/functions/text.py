@@ -20,6 +20,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Unicode's space separators (Zs). F.trim alone takes U+0020 only.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 #: Stand for the two characters beyond ASCII that fold to ASCII letters, in texts and in patterns.
 FOLDED = {"s": ("\u017f", "§"), "k": ("\u212a", "¶")}
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import SPACES
 from ..sources.tables import table
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?:#]+)', 1)"
@@ -91,7 +92,7 @@ SELECT cast(doc_id AS string) AS document_id, cast(i AS int) AS span_idx, cast(1
   cast(CASE WHEN (doc_id + i) % 47 = 0 THEN 1200 WHEN (doc_id + i) % 19 = 0 AND i % 40 > 1 THEN 100 + floor((i % 40 - 2) / 2.0) * 16 ELSE 100 + floor((i % 40) / 2.0) * 16 END AS double) AS y0
 FROM {lines}
 """
-LINES_SPARK = "SELECT doc_id, i, t FROM (SELECT doc_id, posexplode(split(text, chr(10))) AS (i, t) FROM {documents}) x WHERE trim(t) <> ''"
+LINES_SPARK = "SELECT doc_id, i, t FROM (SELECT doc_id, posexplode(split(text, chr(10))) AS (i, t) FROM {documents}) x WHERE t RLIKE '[^" + SPACES + "]'"
 LINES_ORACLE = (
     "(SELECT doc_id, i, t FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS t FROM "
     "(SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) y) x WHERE trim(t) <> '') l"
