@@ -24,6 +24,11 @@ def let(value: Column, body) -> Column:
 SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
+def trimmed(text: Column) -> Column:
+    """The text without space separators at its ends."""
+    return F.trim(text, F.lit(SPACES))
+
+
 #: Stand for the two characters beyond ASCII that fold to ASCII letters, in texts and in patterns.
 FOLDED = {"s": ("\u017f", "§"), "k": ("\u212a", "¶")}
 
