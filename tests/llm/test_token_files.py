@@ -2,11 +2,16 @@
 
 import glob
 import os
+import random
 import re
+import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from vettrail.llm import token_files
+from vettrail.llm import bytebpe, token_files
 
 from . import fixtures
 
@@ -102,3 +107,59 @@ def test_files_are_ordered_by_number(spark, tmp_path):
     for start, _, n in out:
         assert start == at
         at += n
+
+
+ODD = [
+    "a \xa0 \xa0", "it's.é \xa0 \xa0b", ". \n \xa0 \xa0", "of.\nOr.", "\nfirst\nlast\n", "x\n\ny", "x\n\n\ny", "x\n\n", "x\t\n", "x\r\ny\r\n", "a\n ", "a \nb", "a\n b\t c ", "\0x \0y\n\0",
+    "", None, " ", "\n", "word<|endoftext|>\nword", "Go!! go,\n12 \u3000o'clock’s\u2028it",
+]
+
+
+def wanted(rows):
+    """The ids of an unaltered Tokenizer and the end id."""
+    return [[*x.ids, 0] for x in Tokenizer.from_file(bytebpe.default_vocabulary()).encode_batch([r or "" for r in rows], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("part", [1 << 22, 64])
+def test_columns_equal_the_library(monkeypatch, part):
+    """Columns that are cut at spaces and line feeds, sliced ones and parts of few texts; text by text the same."""
+    monkeypatch.setattr(bytebpe, "PART_BYTES", part)
+    rnd = random.Random(2)
+    signs = ["a", "é", "word", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\0", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", ",", ".", "!!", "'s", "7", "<|endoftext|>"]
+    rows = ODD + ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 9))) for _ in range(5_000 if part > 64 else 500)]
+    want = wanted(rows)
+    enc = bytebpe.Encoder(bytebpe.default_vocabulary(), 100)
+    assert [[*np.frombuffer(enc.packed(r), "<u4"), 0] for r in rows] == want
+    for first in (0, 7):
+        got = {}
+        for i, j, to, ids in enc.columns(pa.array(rows, pa.string()).slice(first), 0):
+            got |= {first + k: ids[to[k - i] : to[k - i + 1]].tolist() for k in range(i, j)}
+        assert [got[k] for k in range(first, len(rows))] == want[first:]
+    assert [*enc.columns(pa.array([], pa.string()), 0)] == []
+
+
+def test_each_piece_is_looked_up_once():
+    """Of a column, however often it occurs; line feeds don't join the words beside them to one piece."""
+    enc = bytebpe.Encoder(bytebpe.default_vocabulary(), 1000)
+    asked = []
+
+    class Asked(dict):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return inner[piece]
+
+    inner, enc.spaced = enc.spaced, Asked()
+    texts = ["start one two\none two.\none two"] * 50
+    [(_, _, to, ids)] = enc.columns(pa.array(texts), 0)
+    assert len(asked) == len(set(asked)) <= 6
+    assert ids.tolist() == [x for row in wanted(texts) for x in row] and len(to) == 51
+
+
+@pytest.mark.parametrize("most", [1 << 21, 5])
+def test_odd_white_space_in_files(spark, monkeypatch, most):
+    monkeypatch.setattr(token_files, "IDS_PER_BATCH", most)
+    want, start = [], 0
+    for i, x in enumerate(wanted(ODD)):
+        want.append((i, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        start += len(x)
+    assert sorted(tuple(r) for r in token_files.token_table(fixtures.frame(spark, [*enumerate(ODD)])).collect()) == want

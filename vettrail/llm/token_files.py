@@ -37,25 +37,14 @@ IDS_PER_BATCH = 1 << 21
 def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, CACHE_ENTRIES)
-        end = np.array([END_ID], "<u4").tobytes()
-
-        def flush(keys, ties, packed):
-            sizes = np.array([len(x) // 4 for x in packed], np.int32)
-            ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), ids)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ties, pa.int64()), lists], ["doc_id", "tie", "ids"])
-
         for batch in batches:
-            keys, ties, packed, held = [], [], [], 0
-            for k, tie, text in zip(batch["doc_id"].to_pylist(), batch["tie"].to_pylist(), batch["text"]):
-                ids = enc.packed(text.as_py()) + end
-                keys.append(k), ties.append(tie), packed.append(ids)
-                held += len(ids) // 4
-                if held >= IDS_PER_BATCH:
-                    yield flush(keys, ties, packed)
-                    keys, ties, packed, held = [], [], [], 0
-            if keys:
-                yield flush(keys, ties, packed)
+            for i, j, to, ids in enc.columns(batch["text"], END_ID):
+                at = 0
+                while at < j - i:
+                    n = max(1, int(np.searchsorted(to, to[at] + IDS_PER_BATCH, "right")) - 1 - at)
+                    lists = pa.ListArray.from_arrays(pa.array((to[at : at + n + 1] - to[at]).astype(np.int32)), pa.array(ids[to[at] : to[at + n]]))
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i + at, n), batch["tie"].slice(i + at, n), lists], ["doc_id", "tie", "ids"])
+                    at += n
 
     return run
 
